@@ -6,16 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import repeats
+from . import neardup, repeats, toxicity
 from .shared import table
 
 
+def op3_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_probminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_tree_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_suffix_tree_repeats": op10_suffix_tree_repeats}
+    return {f.__name__: f for f in (op3_factorization_toxicity, op8_probminhash_neardup, op10_suffix_tree_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
