@@ -35,7 +35,7 @@ from .shared import text_of
 #: Words in the lexicon: the bound of what is broadcast (some 2 MB).
 LEXICON_WORDS = 50_000
 #: Words merged outside the lexicon that a worker remembers before it starts afresh.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
 _BLOCK = 2 * scan.BLOCK_BYTES
 
 #: Texts of these characters alone are cut on bytes: printable ASCII, tab, line ends, Latin letters but the capital
@@ -65,30 +65,47 @@ class Merges:
         self.special = {t["content"]: t["id"] for t in parts["added_tokens"]}
         self.tokens = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
 
-    def encode(self, word: bytes) -> list[int]:
-        """Merges a word's letters, at each turn the pair of least rank, leftmost first."""
-        parts = [_LETTERS[b] for b in word]
-        parts[-1] += self.suffix
-        ranks = self.ranks
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = ranks.get((parts[i], parts[i + 1]))
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
-            pair = (parts[at], parts[at + 1])
-            out, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-                    out.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return [self.ids[p] for p in parts]
+        pairs = [((self.ids[a] << 32) | self.ids[b], i, self.ids[a + b]) for (a, b), i in self.ranks.items()]
+        keys, ranks, made = (np.array(x, np.int64) for x in zip(*pairs, strict=True)) if pairs else [np.zeros(1, np.int64) - 1] * 3
+        order = np.argsort(keys)
+        self._keys, self._ranks, self._made = keys[order], ranks[order], made[order]
+        self._letters = np.array([self.ids[c] for c in _LETTERS], np.int64)
+        self._last = np.array([self.ids[c + self.suffix] for c in _LETTERS], np.int64)
+
+    def encode(self, words: list[bytes]) -> list[list[int]]:
+        """Merges the letters of many words at once. At each turn a word's pair of least rank is merged, leftmost
+        first where it overlaps itself; words without a ranked pair are done."""
+        size = np.array([len(w) for w in words], np.int64)
+        ends = np.cumsum(size)
+        data = np.frombuffer(b"".join(words), np.uint8)
+        part = self._letters[data]
+        part[ends - 1] = self._last[data[ends - 1]]
+        word = np.repeat(np.arange(len(words)), size)
+        out: list[list[int]] = [[]] * len(words)
+        while len(part):
+            inner = word[1:] == word[:-1]
+            key = np.where(inner, (part[:-1] << 32) | part[1:], -1)
+            at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
+            rank = np.where(self._keys[at] == key, self._ranks[at], _NEVER)
+            first = np.flatnonzero(np.append(True, ~inner))
+            least = np.minimum.reduceat(np.append(rank, _NEVER), first)
+            nth = np.cumsum(np.append(True, ~inner)) - 1
+            done = least == _NEVER
+            if done.any():
+                for w, a, b in zip(word[first[done]].tolist(), first[done].tolist(), np.append(first[1:], len(part))[done].tolist(), strict=True):
+                    out[w] = part[a:b].tolist()
+            hit = np.flatnonzero((rank == least[nth[:-1]]) & (rank != _NEVER))
+            if len(hit):
+                runs = scan.spans_to_runs(hit)
+                hit = hit[(np.arange(len(hit)) - np.repeat(runs, np.diff(np.append(runs, len(hit))))) % 2 == 0]
+            keep = ~done[nth]
+            part[hit] = self._made[at[hit]]
+            keep[hit + 1] = False
+            part, word = part[keep], word[keep]
+        return out
+
+
+_NEVER = np.iinfo(np.int64).max
 
 
 def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
@@ -243,17 +260,23 @@ class Coder:
         self.known: dict[bytes, tuple[bytes, bytes, int]] = {}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.merges.special, key=len, reverse=True))) + ")") if self.merges.special else None
 
-    def word(self, word: bytes) -> tuple[bytes, bytes, int]:
-        """A word's ids as bytes, its decoded text and how many ids."""
-        found = self.known.get(word)
-        if found is None:
-            ids = self.lexicon.lookup(word)
+    def words(self, words: list[bytes]) -> list[tuple[bytes, bytes, int]]:
+        """Of each word the ids as bytes, the decoded text and how many ids."""
+        known = self.known
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = list(dict.fromkeys(words))
+        unseen = []
+        for w in new:
+            ids = self.lexicon.lookup(w)
             if ids is None:
-                ids = self.merges.encode(word)
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            found = self.known[word] = self.packed(ids)
-        return found
+                unseen.append(w)
+            else:
+                known[w] = self.packed(ids)
+        if unseen:
+            known.update(zip(unseen, map(self.packed, self.merges.encode(unseen)), strict=True))
+        return [known[w] for w in words]
 
     def packed(self, ids: list[int]) -> tuple[bytes, bytes, int]:
         return struct.pack(f"<{len(ids)}I", *ids), " ".join(self.merges.tokens[i] for i in ids).encode(), len(ids)
@@ -266,7 +289,7 @@ class Coder:
                 out.append(self.packed([self.merges.special[part]]))
             elif part:
                 cut = self.own.pre_tokenizer.pre_tokenize_str(self.own.normalizer.normalize_str(part))
-                out += [self.word(bytes(_LETTERS_BACK[c] for c in w)) for w, _ in cut]
+                out += self.words([bytes(_LETTERS_BACK[c] for c in w) for w, _ in cut])
         return out
 
     def texts(self, texts: list[str]) -> Iterator[tuple[bytes, bytes, int]]:
@@ -280,7 +303,7 @@ class Coder:
             begins, stops = cut_latin(data, offsets)
             found, first, place = np.unique(scan.hash_spans(scan._CODES[data], begins, stops), return_index=True, return_inverse=True)
             raw = data.tobytes()
-            pieces = [self.word(raw[a:b]) for a, b in zip(begins[first].tolist(), stops[first].tolist(), strict=True)]
+            pieces = self.words([raw[a:b] for a, b in zip(begins[first].tolist(), stops[first].tolist(), strict=True)])
             edges = np.searchsorted(begins, offsets)
             codes = place.tolist()
         for i, ok in enumerate(fast):
@@ -304,7 +327,8 @@ def build(docs: DataFrame, tokenizer: str, words: int = LEXICON_WORDS) -> tuple[
     with open(tokenizer, encoding="utf-8") as file:
         tokenizer_json = file.read()
     merges = Merges(tokenizer_json)
-    return compile_lexicon({w: merges.encode(w) for w in frequent_words(docs, words)}), tokenizer_json
+    found = frequent_words(docs, words)
+    return compile_lexicon(dict(zip(found, merges.encode(found), strict=True))), tokenizer_json
 
 
 _coders: dict[str, Coder] = {}
