@@ -6,14 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, repeats, toxicity
+from . import fingerprint, lexicon, neardup, repeats, sstable, toxicity
 from .shared import table
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op3_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_sstable_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op7_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.digest(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op8_probminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
@@ -23,7 +41,7 @@ def op10_suffix_tree_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_factorization_toxicity, op8_probminhash_neardup, op10_suffix_tree_repeats)}
+    return {f.__name__: f for f in (op1_imatch_fingerprints, op3_factorization_toxicity, op6_sstable_token_ids, op7_transducer_bpe, op8_probminhash_neardup, op10_suffix_tree_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
