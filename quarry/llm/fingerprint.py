@@ -47,7 +47,7 @@ def _slot(term: Column) -> Column:
 
 def lexicon(texts: DataFrame) -> list[int]:
     """The band of texts(text) as a bitmap of 2^LEXICON_BITS / 64 longs."""
-    counts = texts.select(F.explode(terms(F.col("text"))).alias("term")).select(_slot(F.col("term")).alias("slot")).groupBy("slot").agg(F.count("*").alias("df"))
+    counts = texts.select(F.explode_outer(terms(F.col("text"))).alias("term")).where("term is not null").select(_slot(F.col("term")).alias("slot")).groupBy("slot").agg(F.count("*").alias("df"))
     n = texts.count()
     low, high = n**LOW_POWER, n**HIGH_POWER
     band = counts.where((F.col("df") > low) & (F.col("df") <= max(high, low + 1)))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, lexicon, neardup, repeats, sstable, toxicity
+from . import decontaminate, fingerprint, lexicon, license, neardup, repeats, sstable, toxicity
 from .shared import table
 
 
@@ -20,10 +20,18 @@ def op1_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_factorization_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_diagonal_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op6_sstable_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -41,8 +49,8 @@ def op10_suffix_tree_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_imatch_fingerprints, op3_factorization_toxicity, op6_sstable_token_ids, op7_transducer_bpe, op8_probminhash_neardup, op10_suffix_tree_repeats)}
+    return {f.__name__: f for f in (op1_imatch_fingerprints, op2_template_decontamination, op3_factorization_toxicity, op5_diagonal_licenses, op6_sstable_token_ids, op7_transducer_bpe, op8_probminhash_neardup, op10_suffix_tree_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_template_decontamination": decontaminate.oracle(), "op5_diagonal_licenses": license.oracle()}
