@@ -269,6 +269,24 @@ def remove_repeats(docs: DataFrame, group_windows: int = GROUP_WINDOWS) -> DataF
     return joined.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
+def without_repeats(docs: DataFrame, group_windows: int = GROUP_WINDOWS) -> DataFrame:
+    """docs with the repeated words cut out of text (what stays joined by single spaces) and n_chars, where there is
+    such a column, counted anew; rows that lose no word are unchanged, and so are all other columns."""
+    marks = repeated_windows(docs, group_windows).withColumnsRenamed({"doc_id": "_id", "same": "_same"})
+    keyed = docs.withColumns({"_doc": id_key(), "_of": F.xxhash64(text_of()).bitwiseAND(0xFFFF)})
+    joined = keyed.join(marks, (F.col("_doc") == F.col("_id")) & (F.col("_of") == F.col("_same")), "left").drop("_doc", "_of", "_id", "_same")
+    rest = [f for f in docs.schema.fields if f.name != "text"]
+    held = joined.select(F.struct(*[f.name for f in rest]).alias("rest"), "text", F.col("text").alias("whole"), "marks")
+    kinds = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in rest)
+    cut = held.mapInArrow(_cut, f"rest struct<{kinds}>, whole string, n_words long, n_removed long, kept_text string")
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("whole"))
+    out = cut.select(*[F.col("rest")[f.name].alias(f.name) for f in rest], text.alias("text"), (F.col("n_removed") > 0).alias("_cut"))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(docs.columns)
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns."""
     return remove_repeats(docs.withColumn("doc_id", F.col("doc_id").cast("long"))).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
