@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import id_back, id_key, text_of
+from .shared import held, id_back, id_key, text_of
 
 WINDOW = 8
 COVERAGE = 0.5
@@ -59,14 +59,15 @@ def _typed(tokens: Column) -> Column:
 def canonical(rows: DataFrame, keep: list[str]) -> DataFrame:
     """rows(keep..., text) -> (keep..., words, shapes): the words of each text and their canonical forms."""
     cut = rows.select(*keep, F.regexp_extract_all(F.col("text"), F.lit(_TOKEN), F.lit(0)).alias("tokens"))
-    both = cut.select(*keep, F.arrays_zip(F.col("tokens").alias("word"), _typed(F.col("tokens")).alias("shape")).alias("both"))
-    held = both.select(*keep, F.filter("both", lambda x: x["shape"].isNotNull()).alias("both"))
-    return held.select(*keep, F.col("both.word").alias("words"), F.col("both.shape").alias("shapes"))
+    both = cut.select(*keep, F.arrays_zip(F.col("tokens").alias("word"), held(F.col("tokens"), _typed).alias("shape")).alias("both"))
+    kept = both.select(*keep, F.filter("both", lambda x: x["shape"].isNotNull()).alias("both"))
+    return kept.select(*keep, F.col("both.word").alias("words"), F.col("both.shape").alias("shapes"))
 
 
-def _rolled(size: Column, length: int) -> Column:
-    hashes = F.transform(F.sequence(F.lit(0), size - length), lambda i: F.struct(i.alias("place"), F.xxhash64(F.slice("shapes", i + 1, length)).alias("gram"), F.lit(length).alias("length")))
-    return F.when(size >= length, hashes).otherwise(F.array().cast("array<struct<place:int,gram:bigint,length:int>>"))
+def _rolled(shapes: Column, length: int) -> Column:
+    """All windows of a length: place and hash."""
+    hashes = F.transform(F.sequence(F.lit(0), F.size(shapes) - length), lambda i: F.struct(i.alias("place"), F.xxhash64(F.slice(shapes, i + 1, length)).alias("gram"), F.lit(length).alias("length")))
+    return F.when(F.size(shapes) >= length, hashes).otherwise(F.array().cast("array<struct<place:int,gram:bigint,length:int>>"))
 
 
 def item_windows(items: DataFrame) -> DataFrame:
@@ -85,8 +86,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     wanted = item_windows(items)
     facts = wanted.agg(F.count("*").alias("n"), F.collect_set(F.when(F.col("length") < WINDOW, F.col("length"))).alias("short")).first()
     shapes = canonical(docs.select(id_key().alias("doc"), text_of().alias("text")), ["doc"])
-    size = F.size("shapes")
-    rolled = F.concat(*[_rolled(size, n) for n in [WINDOW, *sorted(facts.short)]])
+    rolled = held(F.col("shapes"), lambda x: F.concat(*[_rolled(x, n) for n in [WINDOW, *sorted(facts.short)]]))
     every = shapes.withColumn("rolled", rolled).select("doc", "words", F.explode_outer("rolled").alias("w")).select("doc", "words", "w.place", "w.gram", "w.length")
     right = F.broadcast(wanted) if facts.n <= BROADCAST_WINDOWS else wanted
     hits = every.join(right, ["gram", "length"])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,12 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value worked out once: as a lambda's variable it can't be inlined into inner lambdas, where it
+    would be worked out anew for every element."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir. Only where that is unset
     (tests in one process) a folder below the warehouse is used."""
