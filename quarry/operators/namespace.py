@@ -49,24 +49,22 @@ def normal_path(path: Column) -> Column:
 
 
 def lookup(dirents: DataFrame, paths: DataFrame, root: int, depth: int) -> DataFrame:
-    """paths(path) resolved component by component: path, ino (null where a component is missing)."""
-    parts = paths.select("path", F.filter(F.split(normal_path(F.col("path")), "/"), lambda p: p != "").alias("parts")).withColumn("ino", F.lit(root).cast("long"))
+    """paths(path, ...) resolved component by component: path, ino (null where a component is missing), the rest."""
+    parts = paths.withColumn("_parts", F.filter(F.split(normal_path(F.col("path")), "/"), lambda p: p != "")).withColumn("_ino", F.lit(root).cast("long"))
+    names = dirents.select(F.col("parent").alias("_ino"), F.col("name").alias("_name"), F.col("child").alias("_child"))
     for i in range(depth):
-        names = dirents.select(F.col("parent").alias("ino"), F.col("name").alias("_name"), F.col("child").alias("_child"))
-        step = parts.withColumn("_name", F.get("parts", F.lit(i))).join(names, ["ino", "_name"], "left")
-        parts = step.select("path", "parts", F.when(F.size("parts") <= i, F.col("ino")).otherwise(F.col("_child")).alias("ino"))
-    return parts.select("path", F.when(F.size("parts") <= depth, F.col("ino")).alias("ino"))
+        step = parts.withColumn("_name", F.get("_parts", F.lit(i))).join(names, ["_ino", "_name"], "left")
+        parts = step.select(*paths.columns, "_parts", F.when(F.size("_parts") <= i, F.col("_ino")).otherwise(F.col("_child")).alias("_ino"))
+    return parts.select("path", F.when(F.size("_parts") <= depth, F.col("_ino")).alias("ino"), *[c for c in paths.columns if c != "path"])
 
 
-def resolve(dirents: DataFrame, links: DataFrame, paths: DataFrame, root: int, depth: int, hops: int = 8) -> DataFrame:
+def resolve(dirents: DataFrame, links: DataFrame, paths: DataFrame, root: int, depth: int, hops: int = 3) -> DataFrame:
     """lookup() that follows links(ino, target) at the end of a path, up to a number of hops."""
-    found = paths.select("path", F.col("path").alias("_now"))
+    found = paths.select(F.col("path").alias("asked"), "path")
+    targets = links.select("ino", F.col("target").alias("_target"))
     for _ in range(hops):
-        at = lookup(dirents, found.select(F.col("_now").alias("path")).distinct(), root, depth).withColumnsRenamed({"path": "_now", "ino": "_ino"})
-        found = found.join(at, "_now", "left").join(links.select(F.col("ino").alias("_ino"), F.col("target").alias("_target")), "_ino", "left")
-        found = found.select("path", F.coalesce("_target", "_now").alias("_now"))
-    at = lookup(dirents, found.select(F.col("_now").alias("path")).distinct(), root, depth).withColumnsRenamed({"path": "_now"})
-    return found.join(at, "_now", "left").select("path", "ino")
+        found = lookup(dirents, found, root, depth).join(targets, "ino", "left").select("asked", F.coalesce("_target", "path").alias("path"))
+    return lookup(dirents, found, root, depth).select(F.col("asked").alias("path"), "ino")
 
 
 def reverse(dirents: DataFrame, inos: DataFrame, root: int, depth: int) -> DataFrame:
