@@ -21,7 +21,7 @@ from quarry.llm.shared import id_key, table, written
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below one half stay. The model learns from the labels of the corpus that comes in."""
     machine = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, machine).where("score < 0.5").select(docs.columns)
+    return toxicity.scored(docs, machine, "_toxicity").where("_toxicity < 0.5").select(docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -273,10 +273,11 @@ def without_repeats(docs: DataFrame, group_windows: int = GROUP_WINDOWS) -> Data
     """docs with the repeated words cut out of text (what stays joined by single spaces) and n_chars, where there is
     such a column, counted anew; rows that lose no word are unchanged, and so are all other columns."""
     marks = repeated_windows(docs, group_windows).withColumnsRenamed({"doc_id": "_id", "same": "_same"})
-    keyed = docs.withColumns({"_doc": id_key(), "_of": F.xxhash64(text_of()).bitwiseAND(0xFFFF)})
-    joined = keyed.join(marks, (F.col("_doc") == F.col("_id")) & (F.col("_of") == F.col("_same")), "left").drop("_doc", "_of", "_id", "_same")
     rest = [f for f in docs.schema.fields if f.name != "text"]
-    held = joined.select(F.struct(*[f.name for f in rest]).alias("rest"), "text", F.col("text").alias("whole"), "marks")
+    # the other columns travel in a struct, so that no name of theirs can clash
+    keyed = docs.select(F.struct(*[F.col(f"`{f.name}`") for f in rest]).alias("rest"), "text", F.col("text").alias("whole"), id_key().alias("_doc"), F.xxhash64(text_of()).bitwiseAND(0xFFFF).alias("_of"))
+    joined = keyed.join(marks, (F.col("_doc") == F.col("_id")) & (F.col("_of") == F.col("_same")), "left")
+    held = joined.select("rest", "text", "whole", "marks")
     kinds = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in rest)
     cut = held.mapInArrow(_cut, f"rest struct<{kinds}>, whole string, n_words long, n_removed long, kept_text string")
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("whole"))

@@ -135,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     return fit(sorted((r.toxic, bytes(r.slots)) for r in found))
 
 
-def _scorer(machine):
+def _scorer(machine, name: str):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = machine.value
         for batch in batches:
@@ -144,16 +144,16 @@ def _scorer(machine):
             for i, j in scan.blocks(offsets):
                 words = scan.Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], scan.PLAIN)
                 scores.append(1 / (1 + np.exp(-np.clip(model.margins(j - i, *slots(words)), -40, 40))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores))], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores))], [*batch.schema.names, name])
 
     return score
 
 
-def scored(docs: DataFrame, machine: Machine) -> DataFrame:
-    """docs with a column score (replacing one of that name)."""
-    docs = docs.drop("score")
+def scored(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
+    """docs with a column name, the score (replacing one of that name)."""
+    docs = docs.drop(name)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(machine)), f"{fields}, score double")
+    return docs.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(machine), name), f"{fields}, `{name}` double")
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

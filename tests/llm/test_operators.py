@@ -111,7 +111,7 @@ def test_against_sql(name, spark, sf, duck):
 def test_licenses(odd):
     got = {(r.doc_id, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) for r in license.scan_licenses(odd).collect()}
     assert license.scan_licenses(odd).count() == len(TEXTS)
-    assert (10, 4, 1, 13, "apache-2,cc-by-nc,mit", "apache-2,cc-by-nc,mit") in got
+    assert (10, 4, 1, 14, "apache-2,cc-by-nc,mit", "apache-2,cc-by-nc,mit") in got
     assert (4, 0, None, None, "", "") in got
     near = "permission is hereby granted free of charge to any person who is obtaining a copy of this software and associated documentation files the software to deal in the software without any restriction"
     assert license.scan_licenses(odd.limit(1).withColumn("text", F.lit(near))).first().labels == "mit"
