@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quarry import model
 from quarry.functions import codecs
 from quarry.model import GRID, ROOT, STRIDE, table
-from quarry.operators import audit, classify, heat, namespace, overlay, placement, seal, segments, stats
+from quarry.operators import audit, classify, heat, mutate, namespace, overlay, placement, seal, segments, stats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -476,6 +476,46 @@ def codec_roundtrip(spark, sf):
     return docs.select(same.alias("same")).groupBy("same").agg(F.count("*").alias("files"))
 
 
+# --- mutations and maps -------------------------------------------------------------------------------------------
+@query("select doc_id ino, sha256(left(t, 100) || 'REWRITTEN' || substring(t, 110)) content from (select doc_id, case when length(text) < 100 then rpad(text, 100, chr(0)) else text end t from documents where doc_id % 4 = 1 and text is not null)")
+def write_session(spark, sf):
+    content = model.files(table(spark, sf, "documents")).select("ino", "content")
+    writes = content.where("ino % 4 = 1 and content is not null").select("ino", F.lit(1).alias("seq"), F.lit(100).alias("off"), F.lit("REWRITTEN").alias("data"))
+    return mutate.written(content, writes).select("ino", F.sha2(F.col("content").cast("binary"), 256).alias("content"))
+
+
+@query(f"with {_DIR}, u as (select child, count(*) n from dirent where type = 'f' and child % 6 = 1 group by 1), i as (select child ino, 1 nlink from dirent where type = 'f') select ino, cast(greatest(nlink - coalesce(n, 0), 0) as bigint) nlink, nlink - coalesce(n, 0) <= 0 freed from i left join u on ino = child")
+def unlink_counts(spark, sf):
+    names = model.dirents(spark, sf).where("type = 'f'")
+    gone = mutate.unlinked(names, names.where("child % 6 = 1").select("parent", "name"))
+    return mutate.link_counts(names.select(F.col("child").alias("ino"), F.lit(1).alias("nlink")), gone)
+
+
+@query(f"with {_EXT}, s as (select ino container, off + case when ino % 23 = 4 and idx = 2 then 1 else 0 end off, len from ext), z as (select ino container, sum(len) + case when ino % 29 = 6 then 1 else 0 end size from ext group by ino), c as (select *, coalesce(sum(len) over (partition by container order by off, len rows between unbounded preceding and 1 preceding), 0) want from s), f as (select container, bool_or(off <> want) gap, sum(len) total from c group by container) select container, case when gap then 'gap' when total <> size then 'size' else 'ok' end verdict from z join f using (container)")
+def container_map_check(spark, sf):
+    ext = _extents(spark, sf).withColumnRenamed("ino", "container")
+    shifted = F.when((F.col("container") % 23 == 4) & (F.col("idx") == 2), F.col("off") + 1).otherwise(F.col("off"))
+    size = ext.groupBy("container").agg(F.sum("len").alias("_s")).select("container", (F.col("_s") + F.when(F.col("container") % 29 == 6, 1).otherwise(0)).alias("size"))
+    return mutate.map_faults(ext.select("container", shifted.alias("off"), "len"), size)
+
+
+@query(f"with m as (select doc_id member, text body, doc_id // 5 container, length(text) len from documents where length(text) > 0), s as (select *, sum(len) over (partition by container order by member) - len off from m), p as (select container, member, substring(body, cast(greatest(off, {RANGE[0]}) - off + 1 as bigint), cast(least(off + len, {RANGE[1]}) - greatest(off, {RANGE[0]}) as bigint)) piece from s where off < {RANGE[1]} and off + len > {RANGE[0]}) select container, sha256(string_agg(piece, '' order by member)) content from p group by container")
+def container_map_read(spark, sf):
+    from pyspark.sql import Window
+
+    docs = table(spark, sf, "documents").where("length(text) > 0").select(F.col("doc_id").alias("member"), F.col("text").alias("body"), F.expr("doc_id div 5").alias("container"), F.length("text").cast("long").alias("len"))
+    end = F.sum("len").over(Window.partitionBy("container").orderBy("member").rowsBetween(Window.unboundedPreceding, 0))
+    spans = docs.select("container", "member", "len", (end - F.col("len")).alias("off"), F.lit(0).alias("at"))
+    return mutate.map_read(spans, docs.select("member", "body"), *RANGE).select("container", F.sha2(F.col("content").cast("binary"), 256).alias("content"))
+
+
+@query("select a.doc_id ino, sha256(substring(b.text, 11, 200)) content from documents a join documents b on b.doc_id = a.doc_id // 2 where a.doc_id % 2 = 0 and b.text is not null")
+def window_entries(spark, sf):
+    content = model.files(table(spark, sf, "documents")).select("ino", "content").where("content is not null")
+    entries = table(spark, sf, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("ino"), F.expr("doc_id div 2").alias("src"), F.lit(10).alias("at"), F.lit(200).alias("len"))
+    return mutate.windows(entries, content).select("ino", F.sha2(F.col("content").cast("binary"), 256).alias("content"))
+
+
 # --- the log as a stream ------------------------------------------------------------------------------------------
 @query(f"with {_LOG}, {_LATEST.format(log='log')} select k, seq, op from latest")
 def stream_ingest(spark, sf):
