@@ -132,6 +132,27 @@ class Registry:
         return same
 
 
+def parse_manifest(text: str) -> dict:
+    """A pack's manifest of key = value lines ('#' opens a comment): keys repeat into lists, sniff.magic is bytes in
+    hex, sniff.offset and algo are numbers. A line without '=' or a pack without name and algo is refused."""
+    out: dict = {}
+    for line in text.splitlines():
+        line = line.split("#", 1)[0].strip()
+        if not line:
+            continue
+        key, eq, value = (part.strip() for part in line.partition("="))
+        if not eq or not key:
+            raise ValueError(f"not a manifest line: {line}")
+        if key == "sniff.magic":
+            value = bytes.fromhex(value.replace(" ", ""))
+        elif key in ("algo", "sniff.offset", "generation"):
+            value = int(value)
+        out[key] = value if key not in out else [*(out[key] if isinstance(out[key], list) else [out[key]]), value]
+    if "name" not in out or "algo" not in out:
+        raise ValueError("a pack needs a name and an algo")
+    return out
+
+
 def _zlib6(b: bytes) -> bytes:
     return zlib.compress(b, 6)
 

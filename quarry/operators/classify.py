@@ -124,3 +124,8 @@ def sweepable(files: DataFrame, generation: int) -> DataFrame:
     not settled under this or a later codec generation."""
     terms = [F.col("type") == "f", F.col("segments") > 0, ~F.col("name").startswith("\x01"), F.col("cls").isNull() | (F.col("gen") < generation)]
     return files.where(reduce(lambda a, b: a & b, terms))
+
+
+def repackable(entries: DataFrame, batched_zone: int = 1, window_algo: int = 24) -> DataFrame:
+    """entries(ino, zone, algo): files without an entry in a shared batch and without a view of another file."""
+    return entries.groupBy("ino").agg(F.bool_or((F.col("zone") == batched_zone) | (F.col("algo") == window_algo)).alias("_tied")).where(~F.col("_tied")).select("ino")

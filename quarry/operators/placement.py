@@ -46,3 +46,10 @@ def size_guard(members: DataFrame, gain_mille: int, fixed: int = 4096, each: int
 def admitted(candidates: DataFrame, free: int) -> DataFrame:
     """candidates(ino, worst): those whose worst case fits into what is free; the others are put off."""
     return candidates.select("ino", "worst", F.when(F.col("worst") <= free, "go").otherwise("no-space").alias("verdict"))
+
+
+def pending(marks: DataFrame, done: DataFrame, cap: int) -> DataFrame:
+    """marks(ino, ts) that no later sweep done(ino, ts) has settled, once each, the oldest first, at most cap."""
+    last = done.groupBy("ino").agg(F.max("ts").alias("_done"))
+    open_ = marks.groupBy("ino").agg(F.min("ts").alias("since"), F.max("ts").alias("_marked")).join(last, "ino", "left")
+    return open_.where("_done is null or _done < _marked").orderBy("since", "ino").limit(cap).select("ino", "since")
