@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
-from .shared import text_of
+from .shared import bounded_batches, text_of
 from .toxicity import held_out
 
 SAMPLE, POOL = 4_000, 4_000
@@ -162,6 +162,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL) -> Model:
+    bounded_batches(docs.sparkSession)
     good = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and _id is not null")
     known = good.where(~held_out("_id")).groupBy("_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     ids = docs.select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null").distinct()

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
-from .shared import text_of, written
+from .shared import bounded_batches, text_of, written
 
 SAMPLE = 4_000
 SLOT_BITS = 14
@@ -121,6 +121,7 @@ def _argmax(x: Column) -> Column:
 def identify(pages: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """pages(page_id, url, html) -> (page_id, lang, confidence, text_lang, declared)."""
     spark = pages.sparkSession
+    bounded_batches(spark)
     models = train(docs, sample)
     if not models:
         return pages.select(F.col("page_id").cast("long").alias("page_id"), F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("confidence"), F.lit(UNKNOWN).alias("text_lang"), F.lit(None).cast("string").alias("declared"))

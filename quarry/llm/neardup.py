@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
-from .shared import id_back, id_key, text_of, written
+from .shared import bounded_batches, id_back, id_key, text_of, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -104,7 +104,7 @@ _SKETCH = pa.schema([("doc", pa.int64()), ("copy1", pa.int64()), ("copy2", pa.in
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, (offsets, data) = batch.column("doc").to_numpy(), scan.utf8(batch.column("text"))
-        for i, j in scan.blocks(offsets, 2 * scan.BLOCK_BYTES):
+        for i, j in scan.blocks(offsets):
             words = scan.Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], scan.PLAIN)
             copy1 = scan.hash_spans(words.hash, words.first[:-1], words.first[1:], 1)
             copy2 = scan.hash_spans(scan.mix(words.hash, 2), words.first[:-1], words.first[1:], 3)
@@ -157,6 +157,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(copies, links): each document's copy key and least copy; verified pairs (a < b) of least copies."""
+    bounded_batches(docs.sparkSession)
     texts = docs.select(id_key().alias("doc"), text_of().alias("text"))
     sketches = written(texts.mapInArrow(_sketch, "doc long, copy1 long, copy2 long, bands array<long>, sketch binary"), "sketches")
     least = sketches.groupBy("copy1", "copy2").agg(F.min("doc").alias("doc"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
-from .shared import id_key, text_of
+from .shared import bounded_batches, id_key, text_of
 
 WINDOW = 20
 PREFIX = 11
@@ -159,7 +159,7 @@ def _deal(plan: Plan):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sames, offsets, data = _columns(batch)
-            for i, j in scan.blocks(offsets, 2 * scan.BLOCK_BYTES):
+            for i, j in scan.blocks(offsets):
                 words = scan.Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], scan.SPACED)
                 s = _Suffixes(words)
                 if not len(s.start):
@@ -232,6 +232,7 @@ def _subtree(table: pa.Table) -> pa.Table:
 def repeated_windows(docs: DataFrame, group_windows: int = GROUP_WINDOWS) -> DataFrame:
     """(doc_id, same, marks): for each document with repeats, packed int32 pairs [a, b) of window starts."""
     rows = docs.select(id_key().alias("doc_id"), F.xxhash64(text_of()).bitwiseAND(0xFFFF).alias("same"), text_of().alias("text"))
+    bounded_batches(docs.sparkSession)
     plan = _plan(rows, group_windows)
     dealt = rows.mapInArrow(_deal(plan), "group long, doc_id long, same long, payload binary")
     marks = dealt.groupBy("group").applyInArrow(_subtree, "doc_id long, same long, payload binary")

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text is worked on in blocks of about so many bytes, which bounds memory whatever the batch holds.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 3  # odd, and one less than it has a single factor of two
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -42,7 +42,8 @@ def hash_spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: i
     """A 64-bit hash of values[starts:ends) for each span."""
     n = len(values)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * _table(_BASE, n)[:n], out=sums[1:])
+    np.multiply(values, _table(_BASE, n)[:n], out=sums[1:])
+    np.cumsum(sums[1:], out=sums[1:])
     found = (sums[ends] - sums[starts]) * _table(_INVERSE, n + 1)[starts]
     return mix(found + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), seed)
 

@@ -35,6 +35,13 @@ def held(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds what one Arrow batch holds, for this session: ten thousand rows of whole texts would need hundreds of MB
+    outside the heap and as much in the Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir. Only where that is unset
     (tests in one process) a folder below the warehouse is used."""

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import scan
 from .lexicon import byte_letters
-from .shared import id_back, id_key, shuffle_parts, text_of, written
+from .shared import bounded_batches, id_back, id_key, shuffle_parts, text_of, written
 
 END_ID = 2
 SHARD_BYTES = 8 << 20
@@ -238,6 +238,7 @@ def _write(tokenizer):
 
 def write_shards(docs: DataFrame, tokenizer: str) -> DataFrame:
     """docs(doc_id, text) -> the table of written shards (first_id, last_id, n_docs, n_tokens, bytes)."""
+    bounded_batches(docs.sparkSession)
     with open(tokenizer, encoding="utf-8") as file:
         vocabulary = docs.sparkSession.sparkContext.broadcast(file.read())
     rows = docs.select(id_key().alias("doc"), text_of().alias("text"))

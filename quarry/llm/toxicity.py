@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
+from .shared import bounded_batches
 
 SAMPLE = 16_000
 SLOT_BITS = 18
@@ -151,6 +152,7 @@ def _scorer(machine, name: str):
 
 def scored(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
     """docs with a column name, the score (replacing one of that name)."""
+    bounded_batches(docs.sparkSession)
     docs = docs.drop(name)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(machine), name), f"{fields}, `{name}` double")
