@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
-from .shared import text_of
+from .shared import bounded_batches, text_of, written
 
 #: Words in the lexicon: the bound of what is broadcast (some 2 MB).
 LEXICON_WORDS = 50_000
@@ -315,15 +315,28 @@ _LETTERS_BACK = {c: b for b, c in enumerate(_LETTERS)}
 
 
 def frequent_words(docs: DataFrame, words: int = LEXICON_WORDS) -> list[bytes]:
-    """The most frequent words of the whole corpus, at most words of them; ties by the word. Counted by Spark's own
-    functions with partial sums before the shuffle."""
+    """The most frequent words of the whole corpus, at most words of them. Counted by Spark's own functions with
+    partial sums before the shuffle; a histogram of the counts gives the count from which all words fit, and only
+    those words come to the driver. Words that tie just below it are left to the merges."""
     cut = F.regexp_extract_all(F.lower(text_of()), F.lit(r"\p{L}+"), F.lit(0))
-    counts = docs.select(F.explode(cut).alias("word")).groupBy("word").count()
-    return [r.word.encode() for r in counts.where(F.length("word") <= 64).orderBy(F.desc("count"), "word").limit(words).collect()]
+    counted = docs.select(F.explode_outer(cut).alias("word")).where("length(word) between 1 and 64").groupBy("word").count()
+    counts = written(counted.where("count > 1"), "word-counts")
+    # 64 steps an octave: some 2,500 rows at most
+    step = F.floor(F.log2("count") * 64).cast("int")
+    total, least = 0, None
+    for row in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
+        total += row.n
+        if total > words:
+            break
+        least = row.step
+    if least is None:
+        return []
+    return sorted(r.word.encode() for r in counts.where(step >= least).select("word").collect())
 
 
 def build(docs: DataFrame, tokenizer: str, words: int = LEXICON_WORDS) -> tuple[bytes, str]:
     """The compiled lexicon of the corpus for a tokenizer file, and the file's text."""
+    bounded_batches(docs.sparkSession)
     with open(tokenizer, encoding="utf-8") as file:
         tokenizer_json = file.read()
     merges = Merges(tokenizer_json)
