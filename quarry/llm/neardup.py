@@ -6,17 +6,18 @@ shingle that arrives first. A shingle stops as soon as its next arrival is later
 termination). Two texts agree in a register with the probability Jaccard of their weighted sets. Bands of registers
 propose pairs, and exact shingle sets decide: a link is a Jaccard of SIMILARITY or more.
 
-Copies (same words in the same order) are first folded into their least doc_id. In each band bucket every member is
-proposed to the least one, so a group of any size gives as many pairs as it has members. A member that no bucket
-linked is then held, by its registers, against all members of its buckets, a block of them at a time, and its best
-partners are verified. Classes are connected components, found by label passing with pointer jumping; links, labels
-and registers stay in tables.
+Copies (same words in the same order) are first folded into their least row. In each band bucket every member is
+verified against the least one, so a group of any size gives as many pairs as it has members. Then every bucket that
+still holds members of different components is compared whole: each pair of its members that are not yet connected is
+decided by their exact shingle sets, whatever other links they have. Large buckets are cut into blocks, and each pair
+of blocks is a task's group. So every pair that shares a bucket is verified or connected already. Classes are
+connected components, found by label passing with pointer jumping; links, labels and registers stay in tables.
 
 With BANDS x ROWS = 32 x 4 registers a pair of similarity 0.8 shares no bucket with probability 5e-8.
 
 Defined cases: null or empty texts, and texts without a word, are copies of each other; texts of one to four words
-have one shingle, all their words; a null doc_id counts as the smallest; rows with the same doc_id are one document
-for links, each row gets the class of its own text; other columns are passed over.
+have one shingle, all their words; a null doc_id counts as the smallest; rows are known by doc_id and text, so of
+several texts under one doc_id (or under none) each has the class of its own; other columns are passed over.
 """
 
 from __future__ import annotations
@@ -29,16 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
-from .shared import bounded_batches, id_back, id_key, text_of, written
+from .shared import bounded_batches, id_back, node_key, text_of, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
-#: Members of a bucket that one task compares at a time; larger buckets are dealt to several tasks.
-MEMBERS = 20_000
-#: Partners of an unlinked member that are verified, the best by registers of each task.
-BEST = 4
+#: Members, and shingles of them, that a block of a bucket holds on average; pairs of blocks are compared at a time.
+MEMBERS, BLOCK_SHINGLES = 2_000, 1_000_000
 _ARRIVALS = 8192
 
 
@@ -98,12 +97,12 @@ def bands(sketch: np.ndarray) -> np.ndarray:
     return scan.mix(key + np.arange(BANDS, dtype=np.uint64)[None, :] * np.uint64(0xC2B2AE3D27D4EB4F), 5)
 
 
-_SKETCH = pa.schema([("doc", pa.int64()), ("copy1", pa.int64()), ("copy2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+NODE = "struct<doc:bigint,raw:bigint>"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, (offsets, data) = batch.column("doc").to_numpy(), scan.utf8(batch.column("text"))
+        nodes, (offsets, data) = batch.column("node"), scan.utf8(batch.column("text"))
         for i, j in scan.blocks(offsets):
             words = scan.Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], scan.PLAIN)
             copy1 = scan.hash_spans(words.hash, words.first[:-1], words.first[1:], 1)
@@ -111,101 +110,143 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = registers(j - i, *weighted(*shingles(words)))
             keys = bands(held).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i:j]), pa.array(copy1.view(np.int64)), pa.array(copy2.view(np.int64)), lists, pa.array([x.tobytes() for x in held], pa.binary())], schema=_SKETCH)
+            yield pa.RecordBatch.from_arrays([nodes.slice(i, j - i), pa.array(copy1.view(np.int64)), pa.array(copy2.view(np.int64)), lists], ["node", "copy1", "copy2", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, (offsets, data) = batch.column("doc").to_numpy(), scan.utf8(batch.column("text"))
+        nodes, (offsets, data) = batch.column("node"), scan.utf8(batch.column("text"))
         for i, j in scan.blocks(offsets):
             words = scan.Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], scan.PLAIN)
             doc, found, _ = weighted(*shingles(words))
             edges = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(found.astype(np.uint32).view(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i:j]), lists], ["doc", "shingles"])
-
-
-def _best(table: pa.Table) -> pa.Table:
-    """Within a part of a bucket: each unlinked member's best partners by registers."""
-    docs = table.column("doc").to_numpy()
-    ask = table.column("ask").to_numpy(zero_copy_only=False)
-    held = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint32).reshape(-1, REGISTERS)
-    a, b = [], []
-    asked = np.flatnonzero(ask)
-    pool = np.flatnonzero(~table.column("guest").to_numpy(zero_copy_only=False))
-    for i in asked:
-        like = (held[pool] == held[i]).mean(1)
-        like[docs[pool] == docs[i]] = 0
-        for j in np.argsort(-like, kind="stable")[:BEST]:
-            if like[j] >= SIMILARITY - 0.15:
-                a.append(min(docs[i], docs[pool[j]]))
-                b.append(max(docs[i], docs[pool[j]]))
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            yield pa.RecordBatch.from_arrays([nodes.slice(i, j - i), lists], ["node", "shingles"])
+
+
+def cross_links(component: np.ndarray, block: np.ndarray, sizes: np.ndarray, found: np.ndarray, across: bool) -> list[tuple[int, int]]:
+    """Links that join components of a group, by exact overlaps of their members' sets (found, in member order). If
+    across, only members of different blocks are compared. A pair that a link just found connects needs no other."""
+    n = len(sizes)
+    owner = np.repeat(np.arange(n), sizes)
+    order = np.lexsort((owner, found))
+    found, owner = found[order], owner[order]
+    twin = np.append(False, (found[1:] == found[:-1]) & (owner[1:] == owner[:-1])) if n else np.zeros(0, bool)
+    found, owner = found[~twin], owner[~twin]
+    sizes = np.bincount(owner, minlength=n)
+    start = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else np.zeros(0, np.int64)
+    stop = np.append(start[1:], len(found))
+    term = np.repeat(np.arange(len(start)), stop - start)
+    by_owner = np.argsort(owner, kind="stable")
+    terms, edges = term[by_owner], np.append(0, np.cumsum(sizes))
+    component = np.unique(component, return_inverse=True)[1]
+    # each pair of components has an end outside the largest one
+    largest = np.bincount(component).argmax()
+    out = []
+    for i in np.flatnonzero(component != largest):
+        own = terms[edges[i] : edges[i + 1]]
+        length = stop[own] - start[own]
+        at = np.repeat(start[own] - np.append(0, np.cumsum(length)[:-1]), length) + np.arange(length.sum())
+        both = np.bincount(owner[at], minlength=n)
+        near = (both > 0) & (both >= SIMILARITY * (sizes + sizes[i] - both)) & (component != component[i])
+        if across:
+            near &= block != block[i]
+        for j in np.flatnonzero(near):
+            if component[j] != component[i]:
+                out.append((int(i), int(j)))
+                component[component == component[j]] = component[i]
+    return out
+
+
+def _cross(table: pa.Table) -> pa.Table:
+    table = table.combine_chunks()
+    whole = lambda c: table.column(c).combine_chunks() if isinstance(table.column(c), pa.ChunkedArray) else table.column(c)
+    nodes, lists, component = whole("node"), whole("shingles"), whole("component")
+    both = np.stack([component.field(0).to_numpy(), component.field(1).to_numpy()], 1)
+    component = np.unique(both, axis=0, return_inverse=True)[1].ravel()
+    across = table.column("one")[0].as_py() != table.column("two")[0].as_py()
+    sizes = np.diff(lists.offsets.to_numpy())
+    found = cross_links(component, table.column("block").to_numpy(), sizes, lists.flatten().to_numpy(), across)
+    ends = [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)]
+    return pa.table({"a": nodes.take(ends[0]), "b": nodes.take(ends[1])})
+
+
+def _shingle_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, shingles) of the wanted nodes, written."""
+    sets = texts.join(wanted, "node", "left_semi").mapInArrow(_sets, f"node {NODE}, shingles array<int>")
+    return written(sets.dropDuplicates(["node"]), "shingle-sets")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs whose shingle sets have a Jaccard of SIMILARITY or more."""
-    wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-    sets = texts.join(wanted, "doc", "left_semi").mapInArrow(_sets, "doc long, shingles array<int>").dropDuplicates(["doc"])
-    sets = written(sets, "shingle-sets")
-    one = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("of_a"))
-    two = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("of_b"))
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = _shingle_sets(texts, wanted)
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
+    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("both"), (F.size("of_a") + F.size("of_b")).alias("all"))
     return joined.where(F.col("both") >= F.lit(SIMILARITY) * (F.col("all") - F.col("both"))).select("a", "b")
 
 
+def _unconnected(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between members of one bucket that labels leaves in different components."""
+    known = members.join(labels.select("node", "label"), "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("component"))
+    mixed = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    asked = written(known.join(mixed, "bucket"), "mixed-buckets")
+    sets = _shingle_sets(texts, asked.select("node").distinct())
+    sized = asked.join(sets.select("node", F.size("shingles").alias("n")), "node")
+    blocks = sized.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    dealt = asked.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # a member meets its own block and, with it, each of the others
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "node", "component", "block")
+    return dealt.join(sets, "node").groupBy("bucket", "one", "two").applyInArrow(_cross, f"a {NODE}, b {NODE}").distinct()
+
+
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(copies, links): each document's copy key and least copy; verified pairs (a < b) of least copies."""
+    """(copies, links): each row's node and the least node with the same words; verified pairs of least nodes, enough
+    to connect all that belong together. A node is a doc_id and the hash of a text."""
     bounded_batches(docs.sparkSession)
-    texts = docs.select(id_key().alias("doc"), text_of().alias("text"))
-    sketches = written(texts.mapInArrow(_sketch, "doc long, copy1 long, copy2 long, bands array<long>, sketch binary"), "sketches")
-    least = sketches.groupBy("copy1", "copy2").agg(F.min("doc").alias("doc"))
-    copies = sketches.select("doc", "copy1", "copy2").join(least.withColumnRenamed("doc", "least"), ["copy1", "copy2"]).select("doc", "copy1", "copy2", "least")
-    heads = sketches.join(least, ["copy1", "copy2", "doc"], "left_semi").dropDuplicates(["doc"])
-    cells = heads.select("doc", F.explode("bands").alias("bucket"))
-    buckets = cells.groupBy("bucket").agg(F.min("doc").alias("lead"), F.count("*").alias("members")).where("members > 1")
+    texts = docs.select(node_key().alias("node"), text_of().alias("text"))
+    sketches = written(texts.mapInArrow(_sketch, f"node {NODE}, copy1 long, copy2 long, bands array<long>"), "sketches")
+    least = sketches.groupBy("copy1", "copy2").agg(F.min("node").alias("node"))
+    copies = sketches.select("node", "copy1", "copy2").join(least.withColumnRenamed("node", "least"), ["copy1", "copy2"]).select("node", "least")
+    heads = sketches.join(least, ["copy1", "copy2", "node"], "left_semi").dropDuplicates(["node"])
+    cells = heads.select("node", F.explode("bands").alias("bucket"))
+    buckets = cells.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("members")).where("members > 1")
     members = written(cells.join(buckets, "bucket"), "buckets")
-    pairs = members.where("doc > lead").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
+    pairs = members.where("node > lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     found = written(_verified(pairs, texts), "links")
-    linked = found.select(F.col("a").alias("doc")).union(found.select(F.col("b").alias("doc"))).distinct()
-    alone = members.select("doc", "bucket").join(linked, "doc", "left_anti")
-    # a bucket of two has been compared whole; larger ones with an unlinked member are compared by registers
-    open_buckets = alone.groupBy("bucket").agg(F.count("*").alias("asking"))
-    parts = F.ceil(F.col("members") / MEMBERS).cast("int")
-    rest = members.where("members > 2").join(open_buckets, "bucket").withColumn("parts", parts)
-    rest = rest.join(alone.select("doc", F.lit(True).alias("asks")).distinct(), "doc", "left").withColumn("ask", F.coalesce("asks", F.lit(False)))
-    home = F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")
-    # an asking member goes to every part of its bucket, as a guest in all but its own
-    dealt = rest.withColumn("part", F.explode(F.when(F.col("ask"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(home)))).withColumn("guest", F.col("part") != home)
-    dealt = dealt.join(sketches.select("doc", "sketch").dropDuplicates(["doc"]), "doc").select("bucket", "part", "doc", "ask", "guest", "sketch")
-    more = dealt.groupBy("bucket", "part").applyInArrow(_best, "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = written(more, "more-pairs")
-    return copies, found.union(written(_verified(more, texts), "more-links"))
+    return copies, found.union(written(_unconnected(members, components(found), texts), "more-links"))
 
 
 def components(found: DataFrame) -> DataFrame:
-    """(doc, label): each document that has a link, and the least document it is connected to."""
+    """(node, label): each node that has a link, and the least node it is connected to."""
     edges = written(found.select(F.col("a").alias("u"), F.col("b").alias("v")).union(found.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "edges")
-    labels = written(edges.groupBy(F.col("u").alias("doc")).agg(F.least(F.col("u"), F.min("v")).alias("label")), "labels")
+    labels = written(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("label")), "labels")
     while True:
-        near = edges.join(labels, edges.v == labels.doc).groupBy(F.col("u").alias("doc")).agg(F.min("label").alias("near"))
-        passed = labels.join(near, "doc").select("doc", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("doc").alias("label"), F.col("label").alias("further"))
-        after = written(passed.join(jump, "label", "left").select("doc", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
+        near = edges.join(labels, edges.v == labels.node).groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
+        passed = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        after = written(passed.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
         changed = after.where("old <> label").limit(1).count()
-        labels = after.select("doc", "label")
+        labels = after.select("node", "label")
         if not changed:
             return labels
 
 
+def decided(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text) -> (node, class, kept): class is the least node of the class, and kept marks it."""
+    copies, found = links(docs)
+    labels = components(found)
+    out = copies.join(labels.withColumnRenamed("node", "least"), "least", "left").select("node", F.coalesce("label", "least").alias("class"))
+    return out.withColumn("kept", F.col("node") == F.col("class"))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, class_id, kept): class_id is the least doc_id of the class; kept marks the one
     document of each class that stays."""
-    copies, found = links(docs)
-    labels = components(found)
-    out = copies.join(labels.withColumnRenamed("doc", "least"), "least", "left").select("doc", F.coalesce("label", "least").alias("class"))
-    return out.select(id_back("doc").alias("doc_id"), id_back("class").alias("class_id"), (F.col("doc") == F.col("class")).alias("kept"))
+    return decided(docs).select(id_back("node.doc").alias("doc_id"), id_back("class.doc").alias("class_id"), "kept")
 
 
 def brute_force(docs: list[tuple[int, str | None]]) -> dict[int, int]:

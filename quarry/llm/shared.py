@@ -29,6 +29,11 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def node_key() -> Column:
+    """Tells rows apart by doc_id and text: several texts can stand under one doc_id, or under none."""
+    return F.struct(id_key().alias("doc"), F.xxhash64(text_of()).alias("raw"))
+
+
 def held(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with value worked out once: as a lambda's variable it can't be inlined into inner lambdas, where it
     would be worked out anew for every element."""

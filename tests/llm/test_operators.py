@@ -92,6 +92,36 @@ def test_hub_of_near_copies(spark):
     assert got == neardup.brute_force(rows)
 
 
+def test_bridge_between_linked_subfamilies(spark):
+    """p-q is the only link between two subfamilies, and every bucket they share holds decoys of lesser ids."""
+    import random
+
+    r = random.Random(3)
+    base = [f"h{i}" for i in range(400)]
+
+    def edited(words, places, mark):
+        words = list(words)
+        for k in places:
+            words[k] = f"{mark}x{k}"
+        return words
+
+    p, q = base, edited(base, range(5, 85, 10), "q")
+    rows = [(0, edited(p, range(105, 145, 10), "a")), (1, edited(q, range(205, 245, 10), "b")), (1000, p), (1001, q)]
+    rows += [(c, edited(base, r.sample(range(255, 395, 5), 10), f"d{c}")) for c in range(2, 302)]
+    rows = [(d, " ".join(words)) for d, words in rows]
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == neardup.brute_force(rows)
+    assert got[1000] == got[1001] == got[1] == 0 and len(set(got.values())) == 301
+
+
+@pytest.mark.parametrize("limits", [(2000, 10**6), (3, 10**6), (2000, 1000)])
+def test_blocks_of_a_bucket(spark, docs, monkeypatch, limits):
+    monkeypatch.setattr(neardup, "MEMBERS", limits[0])
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", limits[1])
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    assert got == neardup.brute_force(plain(docs))
+
+
 def test_registers_estimate_probability_jaccard():
     import numpy as np
 
