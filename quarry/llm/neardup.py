@@ -1,10 +1,11 @@
 """Near-duplicate classes by ProbMinHash.
 
-Each text is a weighted set of five-word shingles (weight: how often it stands there). Every shingle runs a Poisson
-process whose rate is its weight: arrivals come at exponential gaps, each hits one register, and a register keeps the
-shingle that arrives first. A shingle stops as soon as its next arrival is later than every register's (early
-termination). Two texts agree in a register with the probability Jaccard of their weighted sets. Bands of registers
-propose pairs, and exact shingle sets decide: a link is a Jaccard of SIMILARITY or more.
+Each text is a set of five-word shingles. Every shingle runs a Poisson process whose rate is its weight: arrivals come
+at exponential gaps, each hits one register, and a register keeps the shingle that arrives first. A shingle stops as
+soon as its next arrival is later than every register's (early termination). Two texts agree in a register with the
+probability Jaccard of their weighted sets. All weights are 1, however often a shingle stands in a text: then that is
+the Jaccard of the sets, by which links are defined, and a passage repeated more often in one text loses no candidate.
+Bands of registers propose pairs, and exact shingle sets decide: a link is a Jaccard of SIMILARITY or more.
 
 Copies (same words in the same order) are first folded into their least row. In each band bucket every member is
 verified against the least one, so a group of any size gives as many pairs as it has members. Then every bucket that
@@ -56,12 +57,12 @@ def shingles(words: scan.Words) -> tuple[np.ndarray, np.ndarray]:
     return doc[order], found[order]
 
 
-def weighted(doc: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (document, hash) and how often each stands there."""
+def distinct(doc: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (document, hash)."""
     order = np.lexsort((found, doc))
     doc, found = doc[order], found[order]
-    new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (found[1:] != found[:-1]))) if len(doc) else np.zeros(0, np.int64)
-    return doc[new], found[new], np.diff(np.append(new, len(doc)))
+    new = np.append(True, (doc[1:] != doc[:-1]) | (found[1:] != found[:-1])) if len(doc) else np.zeros(0, bool)
+    return doc[new], found[new]
 
 
 def registers(n_docs: int, doc: np.ndarray, found: np.ndarray, weight: np.ndarray, k: int = REGISTERS) -> np.ndarray:
@@ -107,7 +108,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = scan.Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], scan.PLAIN)
             copy1 = scan.hash_spans(words.hash, words.first[:-1], words.first[1:], 1)
             copy2 = scan.hash_spans(scan.mix(words.hash, 2), words.first[:-1], words.first[1:], 3)
-            held = registers(j - i, *weighted(*shingles(words)))
+            doc, found = distinct(*shingles(words))
+            held = registers(j - i, doc, found, np.ones(len(doc)))
             keys = bands(held).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([nodes.slice(i, j - i), pa.array(copy1.view(np.int64)), pa.array(copy2.view(np.int64)), lists], ["node", "copy1", "copy2", "bands"])
@@ -118,7 +120,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, (offsets, data) = batch.column("node"), scan.utf8(batch.column("text"))
         for i, j in scan.blocks(offsets):
             words = scan.Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], scan.PLAIN)
-            doc, found, _ = weighted(*shingles(words))
+            doc, found = distinct(*shingles(words))
             edges = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(found.astype(np.uint32).view(np.int32)))
             yield pa.RecordBatch.from_arrays([nodes.slice(i, j - i), lists], ["node", "shingles"])

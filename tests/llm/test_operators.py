@@ -122,6 +122,16 @@ def test_blocks_of_a_bucket(spark, docs, monkeypatch, limits):
     assert got == neardup.brute_force(plain(docs))
 
 
+def test_repeats_within_a_text_lose_no_link(spark):
+    """The same shingles, ten of them a hundred times over in one text: equal sets."""
+    rows = []
+    for k in range(8):
+        head, cycle = [f"k{k}w{i}" for i in range(100)], [f"k{k}c{i}" for i in range(10)]
+        rows += [(2 * k, " ".join(head + cycle * 2)), (2 * k + 1, " ".join(head + cycle * 100))]
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == neardup.brute_force(rows) == {d: d - d % 2 for d, _ in rows}
+
+
 def test_registers_estimate_probability_jaccard():
     import numpy as np
 
