@@ -2,7 +2,9 @@
 
 score = sigmoid(b + sum of w_t + sum over pairs <v_t, v_u>) over the distinct terms of a text, so a pair of terms
 (an insult and a group mention) has a weight of its own even where each alone is harmless. Terms are hashed to
-2^SLOT_BITS slots; slots too rare in the sample to be learned from weigh nothing.
+2^SLOT_BITS slots; slots too rare in the sample to be learned from weigh nothing. Of the others those are fitted
+whose own rows, or whose common rows with another slot, are toxic more or less often than chance has it; all pairs of
+slots are looked at, so two terms that tell nothing alone are fitted if they do together.
 
 The model is fitted on at most SAMPLE labelled rows, the least by a hash of doc_id, none of them held out
 (crc32 of doc_id as text, mod 5, is 0). That bound is the only limit: every document is scored over its whole text,
@@ -31,6 +33,8 @@ SAMPLE = 16_000
 SLOT_BITS = 18
 FACTORS = 8
 LEAST_ROWS = 5
+#: The chance that any pair of slots without an interaction is taken for one with.
+PAIR_ODDS = 0.05
 EPOCHS = 40
 _MASK = np.uint64((1 << SLOT_BITS) - 1)
 
@@ -76,6 +80,53 @@ class Machine:
         return out
 
 
+def _surprise(toxic: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Minus the log of a bound (Chernoff's) on the chance of so many toxic rows of n, or so few, if the share of toxic
+    rows is anywhere from low to high."""
+    share = toxic / n
+    of = np.clip(share, low, high)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        one = np.where(share > 0, share * np.log(share / of), 0)
+        none = np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - of)), 0)
+    return n * (one + none)
+
+
+def paired(label: np.ndarray, doc: np.ndarray, slot: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The slots of all pairs whose common rows are toxic more, or less, often than the base rate and the rates of both
+    slots leave to chance, at PAIR_ODDS for all pairs together. Every pair of the slots in often is looked at."""
+    rows_with, toxic_with = np.bincount(slot, minlength=1 << SLOT_BITS)[often], np.bincount(slot, label[doc], 1 << SLOT_BITS)[often]
+    order = np.argsort(rows_with, kind="stable")
+    often, rate, n = often[order], toxic_with[order] / rows_with[order], len(often)
+    place = np.full(1 << SLOT_BITS, -1)
+    place[often] = np.arange(n)
+    at = place[slot]
+    doc, at = doc[at >= 0], at[at >= 0]
+    by_doc = np.lexsort((at, doc))
+    doc, at = doc[by_doc], at[by_doc].astype(np.int32)
+    stop = np.searchsorted(doc, doc, "right")
+    by_slot = np.argsort(at, kind="stable")
+    edges = np.searchsorted(at[by_slot], np.arange(n + 1))
+    base, least = label.mean(), np.log(max(n, 2) ** 2 / 2 / PAIR_ODDS)
+    kept = np.zeros(n, bool)
+    for t in range(n):
+        # the slots behind t in each of its rows: those in more rows than t
+        own = by_slot[edges[t] : edges[t + 1]]
+        length = stop[own] - own - 1
+        take = np.repeat(own + 1 - np.append(0, np.cumsum(length)[:-1]), length) + np.arange(length.sum())
+        toxic = np.repeat(label[doc[own]] > 0, length)
+        other = at[take]
+        common = np.bincount(other, minlength=n)
+        u = np.flatnonzero(common >= LEAST_ROWS)
+        if not len(u):
+            continue
+        bad = np.bincount(other[toxic], minlength=n)[u]
+        low, high = np.minimum(np.minimum(rate[u], rate[t]), base), np.maximum(np.maximum(rate[u], rate[t]), base)
+        found = u[_surprise(bad, common[u], low, high) > least]
+        kept[found] = True
+        kept[t] |= len(found) > 0
+    return often[kept]
+
+
 def fit(rows: list[tuple[int, bytes]], seed: int = 7) -> Machine:
     """Batch gradient steps (Adam) on the logistic loss with decay; rows are (label, packed slots)."""
     size = 1 << SLOT_BITS
@@ -86,12 +137,13 @@ def fit(rows: list[tuple[int, bytes]], seed: int = 7) -> Machine:
         return Machine(float(np.log(share / (1 - share))) if 0 < share < 1 else (40.0 if share else -40.0), np.full(size, -1), np.zeros(0), np.zeros((0, FACTORS)))
     doc = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     slot = np.concatenate(parts).astype(np.int64)
-    # a slot is worth learning if its share of toxic rows is not what chance makes of the base rate
+    # a slot is worth learning if its share of toxic rows, or that of a pair it is in, is not what chance makes of the base rate
     rows_with = np.bincount(slot, minlength=size)
     toxic_with = np.bincount(slot, label[doc], size)
     base = label.mean()
     odd = np.abs(toxic_with - base * rows_with) / np.sqrt(base * (1 - base) * np.maximum(rows_with, 1))
-    use = np.flatnonzero((rows_with >= LEAST_ROWS) & (odd > 4.5))
+    often = np.flatnonzero(rows_with >= LEAST_ROWS)
+    use = np.union1d(often[odd[often] > 4.5], paired(label, doc, slot, often))
     known = np.full(size, -1)
     known[use] = np.arange(len(use))
     at = known[slot]

@@ -232,6 +232,33 @@ def test_toxicity_learns_pairs():
     assert m[2] > 0 > max(m[0], m[1])
 
 
+@pytest.mark.parametrize("kind", ["one of both", "both"])
+def test_toxicity_learns_pairs_that_tell_nothing_alone(kind):
+    """Each term's own rows are as toxic as the rest; toxic are those with one of the two, or those with both."""
+    import random
+
+    import numpy as np
+
+    r = random.Random(5)
+    rows = []
+    for _ in range(6000):
+        if kind == "both":
+            k = r.random()
+            a, b = k < 0.16, k < 0.02 or 0.16 <= k < 0.30
+            toxic = int(a and b) if a or b else int(r.random() < 0.13)
+        else:
+            a, b = r.random() < 0.5, r.random() < 0.5
+            toxic = int(a != b)
+        slots = {r.randrange(1000, 3000) for _ in range(20)} | ({11} if a else set()) | ({22} if b else set())
+        rows.append((toxic, np.array(sorted(slots), np.int32).tobytes()))
+    base = sum(t for t, _ in rows) / len(rows)
+    for slot in (11, 22):
+        own = [t for t, x in rows if slot in np.frombuffer(x, np.int32)]
+        assert abs(sum(own) - base * len(own)) < 2 * (base * (1 - base) * len(own)) ** 0.5
+    m = toxicity.fit(rows).margins(3, np.array([0, 1, 2, 2]), np.array([11, 22, 11, 22]))
+    assert (m[2] > 0 > max(m[0], m[1])) if kind == "both" else (m[2] < 0 < min(m[0], m[1]))
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
