@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, lexicon, neardup, repeats, toxicity
 from quarry.llm.queries import vocabulary
-from quarry.llm.shared import id_key, table, written
+from quarry.llm.shared import node_key, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,9 +25,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate class the document with the least doc_id stays."""
-    gone = neardup.classes(docs).where("not kept").select(id_key().alias("_gone")).distinct()
-    return docs.join(gone, id_key() == F.col("_gone"), "left_anti").select(docs.columns)
+    """Of each near-duplicate class the row with the least doc_id stays; rows are known by doc_id and text, and of
+    several with the same doc_id and text one stays."""
+    found = written(neardup.decided(docs), "near-decided")
+    gone = found.where("not kept").select(F.col("node").alias("_gone")).distinct()
+    left = docs.withColumn("_node", node_key()).join(gone, F.col("_node") == F.col("_gone"), "left_anti")
+    twins = found.where("kept").groupBy(F.col("node").alias("_twin")).count().where("count > 1").select("_twin")
+    alone = left.join(twins, F.col("_node") == F.col("_twin"), "left_anti")
+    one = left.join(twins, F.col("_node") == F.col("_twin"), "left_semi").dropDuplicates(["_node"])
+    return alone.unionByName(one).select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +42,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item stay."""
-    leaked = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select(id_key().alias("_leaked")).distinct()
-    return docs.join(leaked, id_key() == F.col("_leaked"), "left_anti").select(docs.columns)
+    """Documents without a benchmark item stay; each row goes or stays by its own text."""
+    leaked = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"), by_text=True).select(F.col("node").alias("_leaked")).distinct()
+    return docs.join(leaked, node_key() == F.col("_leaked"), "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held, id_back, id_key, text_of
+from .shared import held, id_back, id_key, node_key, text_of
 
 WINDOW = 8
 COVERAGE = 0.5
@@ -81,11 +81,13 @@ def item_windows(items: DataFrame) -> DataFrame:
     return each.select("item", "windows", "at", "length", slots.alias("slots"), F.xxhash64(F.slice("shapes", F.col("at") + 1, F.col("length"))).alias("gram"))
 
 
-def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, windows, found, coverage, slot_values, consistency) for each pair that shares a window."""
+def matches(docs: DataFrame, items: DataFrame, by_text: bool = False) -> DataFrame:
+    """(doc_id, item_id, windows, found, coverage, slot_values, consistency) for each pair that shares a window. If
+    by_text, several texts under one doc_id are documents of their own, told apart by a column node (see node_key)."""
     wanted = item_windows(items)
     facts = wanted.agg(F.count("*").alias("n"), F.collect_set(F.when(F.col("length") < WINDOW, F.col("length"))).alias("short")).first()
-    shapes = canonical(docs.select(id_key().alias("doc"), text_of().alias("text")), ["doc"])
+    doc = node_key() if by_text else id_key()
+    shapes = canonical(docs.select(doc.alias("doc"), text_of().alias("text")), ["doc"])
     rolled = held(F.col("shapes"), lambda x: F.concat(*[_rolled(x, n) for n in [WINDOW, *sorted(facts.short)]]))
     every = shapes.withColumn("rolled", rolled).select("doc", "words", F.explode_outer("rolled").alias("w")).select("doc", "words", "w.place", "w.gram", "w.length")
     right = F.broadcast(wanted) if facts.n <= BROADCAST_WINDOWS else wanted
@@ -97,7 +99,7 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
     values = F.size(F.array_distinct(F.col("pairs.item_value")))
     return found.select(
-        id_back("doc").alias("doc_id"),
+        *([id_back("doc.doc").alias("doc_id"), F.col("doc").alias("node")] if by_text else [id_back("doc").alias("doc_id")]),
         id_back("item").alias("item_id"),
         F.col("windows").cast("long").alias("windows"),
         "found",
@@ -107,9 +109,9 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, by_text: bool = False) -> DataFrame:
     """The pairs that are leaks."""
-    return matches(docs, items).where((F.col("coverage") >= COVERAGE) & (F.col("consistency") >= CONSISTENCY))
+    return matches(docs, items, by_text).where((F.col("coverage") >= COVERAGE) & (F.col("consistency") >= CONSISTENCY))
 
 
 def oracle() -> str:

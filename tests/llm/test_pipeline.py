@@ -51,3 +51,16 @@ def test_awkward_rows(spark, sf):
         assert out.columns == docs.columns and out.where("doc_id = 5").count() == 1, name
         assert stage(spark, docs.limit(0), sf).count() == 0, name
     assert pipeline.STAGES[-1][1](spark, docs, sf).count() == len(rows)
+
+
+def test_rows_of_one_id_go_by_their_own_texts(spark, sf):
+    item = max((r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if r.text), key=len)
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcde"}
+    near = text["a"].replace("a59", "other")
+    rows = [(1, text["a"]), (7, text["b"]), (7, near), (7, text["c"]), (None, text["d"]), (None, text["e"]), (None, text["d"].upper()), (None, text["e"]), (9, text["c"])]
+    out = pipeline.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
+    kept = sorted(((r.doc_id, r.text.lower()) for r in out), key=str)
+    assert kept == sorted([(1, text["a"]), (7, text["b"]), (7, text["c"]), (None, text["d"]), (None, text["e"])], key=str)
+    rows = [(None, item), (None, text["a"]), (7, item), (7, text["b"]), (8, text["c"])]
+    out = pipeline.drop_leaks(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf).collect()
+    assert sorted(((r.doc_id, r.text) for r in out), key=str) == sorted([(None, text["a"]), (7, text["b"]), (8, text["c"])], key=str)
