@@ -301,8 +301,12 @@ class Coder:
         codes, pieces, place, edges = [], [], None, np.zeros(len(texts) + 1, np.int64)
         if len(data):
             begins, stops = cut_latin(data, offsets)
-            found, first, place = np.unique(scan.hash_spans(scan._CODES[data], begins, stops), return_index=True, return_inverse=True)
-            raw = data.tobytes()
+            found, first, place = np.unique(scan.hash_bytes(data, begins, stops), return_index=True, return_inverse=True)
+            raw, size, lead = data.tobytes(), stops - begins, first[place]
+            other = np.flatnonzero((size != size[lead]) | ~scan.same_bytes(data, begins, begins[lead], size))
+            if len(other):  # words that share a hash with another word: each is a word of its own
+                place[other] = len(first) + np.arange(len(other))
+                first = np.append(first, other)
             pieces = self.words([raw[a:b] for a, b in zip(begins[first].tolist(), stops[first].tolist(), strict=True)])
             edges = np.searchsorted(begins, offsets)
             codes = place.tolist()
@@ -316,22 +320,24 @@ _LETTERS_BACK = {c: b for b, c in enumerate(_LETTERS)}
 
 def frequent_words(docs: DataFrame, words: int = LEXICON_WORDS) -> list[bytes]:
     """The most frequent words of the whole corpus, at most words of them. Counted by Spark's own functions with
-    partial sums before the shuffle; a histogram of the counts gives the count from which all words fit, and only
-    those words come to the driver. Words that tie just below it are left to the merges."""
+    partial sums before the shuffle. A histogram of the counts gives the count from which all words fit; of the words
+    in the step below it those least by a hash fill up the rest, so that ties never empty the lexicon."""
     cut = F.regexp_extract_all(F.lower(text_of()), F.lit(r"\p{L}+"), F.lit(0))
     counted = docs.select(F.explode_outer(cut).alias("word")).where("length(word) between 1 and 64").groupBy("word").count()
     counts = written(counted.where("count > 1"), "word-counts")
     # 64 steps an octave: some 2,500 rows at most
     step = F.floor(F.log2("count") * 64).cast("int")
-    total, least = 0, None
+    total, below = 0, None
     for row in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
-        total += row.n
-        if total > words:
+        if total + row.n > words:
+            below = row.step
             break
-        least = row.step
-    if least is None:
-        return []
-    return sorted(r.word.encode() for r in counts.where(step >= least).select("word").collect())
+        total += row.n
+    above = counts.where(step > below) if below is not None else counts
+    found = [r.word for r in above.select("word").collect()]  # at most words
+    if below is not None and total < words:
+        found += [r.word for r in counts.where(step == below).orderBy(F.desc("count"), F.xxhash64("word"), "word").limit(words - total).select("word").collect()]
+    return sorted(w.encode() for w in found)
 
 
 def build(docs: DataFrame, tokenizer: str, words: int = LEXICON_WORDS) -> tuple[bytes, str]:

@@ -1,11 +1,14 @@
-"""Vectorised scanning of Arrow text: word spans and rolling hashes over raw UTF-8, without a Python string a word.
+"""Vectorised scanning of Arrow text: word spans and hashes over raw UTF-8, without a Python string a word.
 
-Hashes are polynomial in 64 bits over random byte codes, taken from one prefix sum: the hash of [s, e) is
-(sum(e) - sum(s)) times the inverse power of s, then mixed. They depend on content alone, never on position.
+A word's hash mixes its bytes eight at a time with its length, so words of up to seven bytes never share one, and longer
+ones do only by chance (no fixed pattern of letters makes two words clash); where a clash would change a result,
+same_bytes() settles it. Hashes of runs of words are polynomials over the word hashes, taken from one prefix sum; they
+are for short runs. All hashes depend on content alone, never on position.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +19,6 @@ BLOCK_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 3  # odd, and one less than it has a single factor of two
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_CODES = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 256, dtype=np.uint64)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -39,7 +41,7 @@ def _table(base: int, n: int) -> np.ndarray:
 
 
 def hash_spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash of values[starts:ends) for each span."""
+    """A 64-bit hash of the numbers values[starts:ends) for each span."""
     n = len(values)
     sums = np.zeros(n + 1, np.uint64)
     np.multiply(values, _table(_BASE, n)[:n], out=sums[1:])
@@ -48,6 +50,48 @@ def hash_spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: i
     return mix(found + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), seed)
 
 
+#: Longer words are hashed, or compared, one by one.
+_LONG = 64
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as little-endian numbers; zeros follow the end."""
+    padded = np.append(data, np.zeros(8, np.uint8))
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def hash_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes data[starts:ends) for each span."""
+    at, size = _eights(data), ends - starts
+    short = size < 8
+    # up to seven bytes and their number make one number: no two words share it
+    found = np.where(short, size.astype(np.uint64) << np.uint64(56), mix(size.astype(np.uint64), 3))
+    found = mix(found ^ (at[starts] & _MASKS[np.minimum(size, 8)]))
+    for k in range(8, _LONG, 8):
+        more = np.flatnonzero((size > k) & (size <= _LONG))
+        if not len(more):
+            break
+        found[more] = mix(found[more] ^ (at[starts[more] + k] & _MASKS[np.minimum(size[more] - k, 8)]), k)
+    for i in np.flatnonzero(size > _LONG).tolist():
+        found[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return found
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[a : a + size) and data[b : b + size) are equal, for each pair of places."""
+    at = _eights(data)
+    same = ((at[a] ^ at[b]) & _MASKS[np.minimum(size, 8)]) == 0
+    for k in range(8, _LONG, 8):
+        more = np.flatnonzero((size > k) & (size <= _LONG))
+        if not len(more):
+            break
+        same[more] &= ((at[a[more] + k] ^ at[b[more] + k]) & _MASKS[np.minimum(size[more] - k, 8)]) == 0
+    for i in np.flatnonzero(size > _LONG).tolist():
+        same[i] = np.array_equal(data[a[i] : a[i] + size[i]], data[b[i] : b[i] + size[i]])
+    return same
+
+
 def classes(keep: bytes, lower: bool) -> np.ndarray:
     """A byte map: bytes of words to themselves (A-Z to a-z if lower), all others to 0."""
     to = np.zeros(256, np.uint8)
@@ -87,9 +131,8 @@ class Words:
         self.n_docs = len(offsets) - 1
         self.doc = np.searchsorted(offsets, self.starts, "right") - 1 if len(self.starts) else np.zeros(0, np.int64)
         if len(self.starts):
-            # NUL and 1 would share a code if the mapped byte were hashed; where case is kept, the data are.
-            codes = _CODES[data] if to is SPACED else _CODES[mapped]
-            self.hash = hash_spans(codes, self.starts, self.ends)
+            # NUL and 1 would be one letter if the mapped byte were hashed; where case is kept, the data are.
+            self.hash = hash_bytes(data if to is SPACED else mapped, self.starts, self.ends)
         else:
             self.hash = np.zeros(0, np.uint64)
         #: For each document, its first word; one more entry at the end.
@@ -130,3 +173,16 @@ def spans_to_runs(member: np.ndarray, *same: np.ndarray) -> np.ndarray:
     for x in same:
         new[1:] |= x[1:] != x[:-1]
     return np.flatnonzero(new)
+
+
+def groups(*same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs in which all of same stay."""
+    n = len(same[0])
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    new = np.zeros(n, bool)
+    new[0] = True
+    for x in same:
+        new[1:] |= x[1:] != x[:-1]
+    lead = np.flatnonzero(new)
+    return lead, np.append(lead[1:], n)

@@ -49,17 +49,41 @@ def vocab(name):
     return queries.vocabulary(name)
 
 
-def test_repeats(docs, odd):
-    for df in (docs, odd.where("doc_id is not null")):
-        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in repeats.digest(df).collect()}
-        assert got == repeats.brute_force(plain(df))
-    assert repeats.digest(odd).count() == len(TEXTS)
+def thue_morse(a, b):
+    """Two different words of 1,024 letters on which plain polynomial hashes modulo 2^64 clash, whatever the base."""
+    return "".join((a, b)[i.bit_count() % 2] for i in range(1024))
+
+
+CLASH = thue_morse("a", "b"), thue_morse("b", "a")
+
+
+def cut_rows(df, *sizes):
+    kept = F.sha2(F.col("kept_text").cast("binary"), 256)
+    return sorted((tuple(r) for r in repeats.remove_repeats(df, *sizes).select("doc_id", "n_words", "n_removed", kept).collect()), key=str)
+
+
+@pytest.mark.parametrize("sizes", [(), (1 << 16, 500), (2000, 3)])
+def test_repeats(spark, docs, odd, sizes):
+    """Also in many groups, and with so small ones that every prefix is split and salted."""
+    head = " ".join(f"q{i}" for i in range(19))
+    clash = [(i, f"{head} {CLASH[k]}") for i, k in enumerate((0, 1, 0))]
+    nulls = [(None, f"x {PASSAGE}"), (None, f"y {PASSAGE}"), (None, f"x {PASSAGE}"), (None, None), (5, f"z {PASSAGE}"), (5, f"{PASSAGE} z")]
+    for df in (docs, odd, spark.createDataFrame(clash + nulls, "doc_id long, text string")):
+        assert cut_rows(df, *sizes) == sorted(repeats.brute_force(plain(df)), key=str)
     assert repeats.digest(odd.limit(0)).count() == 0
 
 
-def test_repeats_in_many_groups(docs):
-    got = {r.doc_id: r.n_removed for r in repeats.remove_repeats(docs, group_windows=500).collect()}
-    assert got == {k: v[1] for k, v in repeats.brute_force(plain(docs)).items()}
+def test_hot_passage(spark):
+    """A passage that every row holds, and a third of all rows alike."""
+    rows = [(None if i % 3 == 0 else i, f"same {PASSAGE}" if i % 3 == 0 else f"u{i} {PASSAGE} v{i} {PASSAGE}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    assert cut_rows(df, 5000, 12) == sorted(repeats.brute_force(rows), key=str)
+
+
+def test_passages(spark):
+    rows = [(1, f"a b {PASSAGE} c"), (2, f"d {PASSAGE} e f {PASSAGE}"), (3, "nothing here")]
+    found = repeats.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {tuple(r) for r in found} == {(2, 1, 45, PASSAGE), (2, 48, 45, PASSAGE)}
 
 
 def test_repeats_keep_other_columns(odd):
@@ -308,7 +332,7 @@ def test_transducer_coding(docs, odd):
     assert lexicon.digest(odd.limit(0), path).count() == 0
 
 
-ODD = ["It's don't we're they'll I'd you've ''s 'story 'll'd x'ss 'r 'rex 'v 'l", "a<|endoftext|>b <|startoftext|>", "İstanbul ŉ ß ẞ ǅ", "日本語 テスト 123 ½ ²", "éa   x\x1cy\x85z 　 z", "ÀÉ d'été 12 3.4%%% a_b __", "'", "a'", "🙂🙂 ok\r\n\tz  \n\n a", "ﬁ Å Ω", "\x00a\x7f", "  b", "x" * 700, "-- '' \"'s"]
+ODD = [" ".join(CLASH), "It's don't we're they'll I'd you've ''s 'story 'll'd x'ss 'r 'rex 'v 'l", "a<|endoftext|>b <|startoftext|>", "İstanbul ŉ ß ẞ ǅ", "日本語 テスト 123 ½ ²", "éa   x\x1cy\x85z 　 z", "ÀÉ d'été 12 3.4%%% a_b __", "'", "a'", "🙂🙂 ok\r\n\tz  \n\n a", "ﬁ Å Ω", "\x00a\x7f", "  b", "x" * 700, "-- '' \"'s"]
 
 
 def test_odd_texts_word_bpe():
