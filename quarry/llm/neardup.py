@@ -23,6 +23,7 @@ several texts under one doc_id (or under none) each has the class of its own; ot
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,18 +102,30 @@ def bands(sketch: np.ndarray) -> np.ndarray:
 NODE = "struct<doc:bigint,raw:bigint>"
 
 
+def word_digests(data: np.ndarray, words: scan.Words, to: np.ndarray) -> list[bytes]:
+    """Of each document 128 bits of its words in their order: equal words, and in all likelihood only they, have the
+    same, whatever stands between them."""
+    mapped = np.append(to[data], np.uint8(0))
+    sizes = words.ends - words.starts + 1
+    stops = np.cumsum(sizes)
+    # each word with the byte behind it, which then is made 0
+    joined = mapped[np.repeat(words.starts - (stops - sizes), sizes) + np.arange(stops[-1] if len(stops) else 0)]
+    joined[stops - 1] = 0
+    raw, edges = joined.tobytes(), np.append(0, stops)[words.first].tolist()
+    return [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(edges, edges[1:], strict=False)]
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         nodes, (offsets, data) = batch.column("node"), scan.utf8(batch.column("text"))
         for i, j in scan.blocks(offsets):
-            words = scan.Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], scan.PLAIN)
-            copy1 = scan.hash_spans(words.hash, words.first[:-1], words.first[1:], 1)
-            copy2 = scan.hash_spans(scan.mix(words.hash, 2), words.first[:-1], words.first[1:], 3)
+            own = data[offsets[i] : offsets[j]]
+            words = scan.Words(own, offsets[i : j + 1] - offsets[i], scan.PLAIN)
             doc, found = distinct(*shingles(words))
             held = registers(j - i, doc, found, np.ones(len(doc)))
             keys = bands(held).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([nodes.slice(i, j - i), pa.array(copy1.view(np.int64)), pa.array(copy2.view(np.int64)), lists], ["node", "copy1", "copy2", "bands"])
+            yield pa.RecordBatch.from_arrays([nodes.slice(i, j - i), pa.array(word_digests(own, words, scan.PLAIN), pa.binary()), lists], ["node", "copy", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +135,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = scan.Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], scan.PLAIN)
             doc, found = distinct(*shingles(words))
             edges = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(found.astype(np.uint32).view(np.int32)))
+            lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(found.view(np.int64)))
             yield pa.RecordBatch.from_arrays([nodes.slice(i, j - i), lists], ["node", "shingles"])
 
 
@@ -175,7 +188,7 @@ def _cross(table: pa.Table) -> pa.Table:
 
 def _shingle_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, shingles) of the wanted nodes, written."""
-    sets = texts.join(wanted, "node", "left_semi").mapInArrow(_sets, f"node {NODE}, shingles array<int>")
+    sets = texts.join(wanted, "node", "left_semi").mapInArrow(_sets, f"node {NODE}, shingles array<long>")
     return written(sets.dropDuplicates(["node"]), "shingle-sets")
 
 
@@ -210,10 +223,11 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     to connect all that belong together. A node is a doc_id and the hash of a text."""
     bounded_batches(docs.sparkSession)
     texts = docs.select(node_key().alias("node"), text_of().alias("text"))
-    sketches = written(texts.mapInArrow(_sketch, f"node {NODE}, copy1 long, copy2 long, bands array<long>"), "sketches")
-    least = sketches.groupBy("copy1", "copy2").agg(F.min("node").alias("node"))
-    copies = sketches.select("node", "copy1", "copy2").join(least.withColumnRenamed("node", "least"), ["copy1", "copy2"]).select("node", "least")
-    heads = sketches.join(least, ["copy1", "copy2", "node"], "left_semi").dropDuplicates(["node"])
+    sketches = written(texts.mapInArrow(_sketch, f"node {NODE}, copy binary, bands array<long>"), "sketches")
+    # written, so that Spark can split the join below where one text has very many copies
+    least = written(sketches.groupBy("copy").agg(F.min("node").alias("node")), "least-copies")
+    copies = sketches.select("node", "copy").join(least.withColumnRenamed("node", "least"), "copy").select("node", "least")
+    heads = sketches.join(least, ["copy", "node"], "left_semi").dropDuplicates(["node"])
     cells = heads.select("node", F.explode("bands").alias("bucket"))
     buckets = cells.groupBy("bucket").agg(F.min("node").alias("lead"), F.count("*").alias("members")).where("members > 1")
     members = written(cells.join(buckets, "bucket"), "buckets")

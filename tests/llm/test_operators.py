@@ -138,6 +138,34 @@ def test_bridge_between_linked_subfamilies(spark):
     assert got[1000] == got[1001] == got[1] == 0 and len(set(got.values())) == 301
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_two_hubs_with_satellites(spark, seed):
+    """x and y are near each other, and each has 40 satellites that are near it alone."""
+    import random
+
+    r = random.Random(seed)
+    x = [f"w{i}" for i in range(300)]
+    y = list(x)
+    for k in (40, 150, 260):
+        y[k] = f"y{k}"
+    rows = [(500, x), (501, y)]
+    for c in range(80):
+        words = list((x, y)[c % 2])
+        for k in r.sample(range(300), 5):
+            words[k] = f"s{c}k{k}"
+        rows.append((c, words))
+    rows = [(d, " ".join(words)) for d, words in rows]
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == neardup.brute_force(rows)
+    assert got[500] == got[501]
+
+
+def test_clashing_words_are_no_copies(spark):
+    rows = [(1, CLASH[0]), (2, CLASH[1]), (3, CLASH[0].upper() + "!"), (4, " ".join(CLASH[0])), (5, " ".join(CLASH[1]))]
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == neardup.brute_force(rows) == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4}
+
+
 @pytest.mark.parametrize("limits", [(2000, 10**6), (3, 10**6), (2000, 1000)])
 def test_blocks_of_a_bucket(spark, docs, monkeypatch, limits):
     monkeypatch.setattr(neardup, "MEMBERS", limits[0])
