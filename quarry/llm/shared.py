@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from collections.abc import Callable
@@ -56,22 +57,62 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared one. It goes with the program that asked for it: a result may be read until then."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    files, where = _hadoop(spark, path)
+    files.mkdirs(where)
+    if not _made:
+        atexit.register(drop_all)
+    _made.append((spark, path))
+    return path
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def arrow_path(spark: SparkSession, path: str) -> str:
+    """The address of a folder as pyarrow wants it."""
+    files, where = _hadoop(spark, path)
+    full = files.makeQualified(where).toString()
+    return full.replace("file:", "file://", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df as a Parquet table in the shared folder and reads it back. Survives lost
     executors, and a failed task writes its part anew."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = new_folder(spark, name)
+    df.write.mode("append").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quarry_path = path
+    return out
 
 
-def drop_written(df: DataFrame) -> None:
-    """Removes the files of a table made by written(), once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+def drop_written(*tables: DataFrame) -> None:
+    """Removes the files of tables made by written(), once nothing reads them any more."""
+    for df in tables:
+        _drop(df.sparkSession, df._quarry_path)
+        _made.remove((df.sparkSession, df._quarry_path))
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    files, where = _hadoop(spark, path)
+    files.delete(where, True)
+
+
+def drop_all() -> None:
+    """Removes all that is left in the shared folder of this program's tables and files."""
+    while _made:
+        try:
+            _drop(*_made.pop())
+        except Exception:  # the session has ended: its folder is the cluster's to clear
+            _made.clear()
 
 
 def shuffle_parts(spark: SparkSession) -> int:

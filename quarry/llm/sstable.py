@@ -10,15 +10,18 @@ Documents are dealt to ranges of doc_id, encoded in order, and written as immuta
 
 A lookup asks the filter, searches the index for the one block that can hold the key, and searches its restarts.
 
-Shards are rows (shard, bytes) of a Parquet table in the shared folder, so Spark's commit makes a retried or lost
-task's shards appear once or not at all, and any store that Spark can write will do. export() writes them as files.
+Shards are files of their own in the shared folder, written where the ids are made. A manifest, a small Parquet table,
+names those that count: (part, nth, path, first and last id, documents, ids, ids before it in its part). Spark commits
+the manifest, so what a failed or repeated task leaves behind is never read. Files are read block by block through the
+index; a lookup reads footer, filter and one block. The folder may lie in any file system that pyarrow opens by its
+address (local, HDFS, S3, GCS).
 
 Ids are those of the tokenizers library for the same vocabulary file; the merges are run by tiktoken, which is some
 six times as fast (the tests hold both against each other). Strings of special tokens in a text become those tokens.
 
 Defined cases: a null or empty text has the end id alone; a null doc_id counts as the smallest and comes back as
-null; rows with the same doc_id are entries of their own, in the order of their texts; an empty table gives no
-shards and no rows; other columns are passed over.
+null; rows with the same doc_id are entries of their own, in the order of a hash of their texts, over as many tasks and
+shards as they fill; an empty table gives no shards and no rows; other columns are passed over.
 """
 
 from __future__ import annotations
@@ -26,17 +29,19 @@ from __future__ import annotations
 import json
 import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
 from .lexicon import byte_letters
-from .shared import bounded_batches, id_back, id_key, shuffle_parts, text_of, written
+from .shared import arrow_path, bounded_batches, id_back, id_key, new_folder, shuffle_parts, text_of, written
 
 END_ID = 2
 SHARD_BYTES = 8 << 20
@@ -134,24 +139,34 @@ class Writer:
 
 
 class Shard:
-    """Reads a shard."""
+    """Reads a shard from a file that can seek, a block at a time."""
 
-    def __init__(self, data: bytes):
-        self.data = memoryview(data)
-        *numbers, magic = _FOOTER.unpack(self.data[-_FOOTER.size :])
-        if magic != _MAGIC or bytes(self.data[:8]) != _MAGIC:
+    def __init__(self, file):
+        self.file = file
+        size = file.seek(0, 2)
+        *numbers, magic = _FOOTER.unpack(self._read(max(0, size - _FOOTER.size), _FOOTER.size))
+        if magic != _MAGIC or self._read(0, 8) != _MAGIC:
             raise ValueError("not a shard")
         self.index_at, self.n_blocks, self.bloom_at, self.bloom_bits, self.n_docs, self.n_tokens, self.first, self.last, width = numbers
         self.kind, self.width = np.dtype(f"<u{width}"), width
+        self.index = self._read(self.index_at, 20 * self.n_blocks)
+        self.bloom = b""
+
+    def _read(self, at: int, size: int) -> bytes:
+        self.file.seek(at)
+        data = self.file.read(size)
+        if len(data) != size:
+            raise ValueError("a shard ends too early")
+        return data
 
     def _index(self, i: int) -> tuple[bytes, int, int]:
-        at = self.index_at + 20 * i
-        return bytes(self.data[at : at + 8]), *struct.unpack_from("<QI", self.data, at + 8)
+        return self.index[20 * i : 20 * i + 8], *struct.unpack_from("<QI", self.index, 20 * i + 8)
 
     def _block(self, i: int) -> tuple[memoryview, tuple[int, ...]]:
         _, at, size = self._index(i)
-        body = self.data[at : at + size - 4]
-        if zlib.crc32(body) != struct.unpack_from("<I", self.data, at + size - 4)[0]:
+        whole = memoryview(self._read(at, size))
+        body = whole[: size - 4]
+        if zlib.crc32(body) != struct.unpack_from("<I", whole, size - 4)[0]:
             raise ValueError(f"block {i} is damaged")
         (n,) = struct.unpack_from("<I", body, len(body) - 4)
         return body[: len(body) - 4 - 4 * n], struct.unpack_from(f"<{n}I", body, len(body) - 4 - 4 * n)
@@ -172,8 +187,9 @@ class Shard:
                 yield struct.unpack(">Q", key)[0] - 2**63, ids
 
     def may_hold(self, doc_id: int) -> bool:
+        self.bloom = self.bloom or self._read(self.bloom_at, self.bloom_bits // 8)
         places = _bloom_places(np.array([doc_id]), self.bloom_bits)[0].astype(np.int64)
-        return all(self.data[self.bloom_at + (p >> 3)] >> (p & 7) & 1 for p in places.tolist())
+        return all(self.bloom[p >> 3] >> (p & 7) & 1 for p in places.tolist())
 
     def get(self, doc_id: int) -> np.ndarray | None:
         """The ids of a document (the first of that doc_id), or None."""
@@ -212,23 +228,32 @@ def _encoder(tokenizer_json: str) -> Encoder:
     return _encoders[key]
 
 
-_SHARDS = "first_id long, last_id long, n_docs long, n_tokens long, bytes binary"
+_MANIFEST = "part int, nth int, path string, first_id long, last_id long, n_docs long, n_tokens long, before long"
 
 
-def _write(tokenizer):
+def _write(tokenizer, folder: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
+        store, at = FileSystem.from_uri(folder)
         encoder = _encoder(tokenizer.value)
+        part, attempt, nth, before = TaskContext.get().partitionId(), uuid.uuid4().hex, 0, 0
         shard = Writer(encoder.width)
 
         def done() -> pa.RecordBatch:
-            data = shard.finish()
-            return pa.RecordBatch.from_pydict({"first_id": [shard.keys[0]], "last_id": [shard.keys[-1]], "n_docs": [len(shard.keys)], "n_tokens": [shard.tokens], "bytes": [data]})
+            path = f"{at}/shard-{part:06d}-{nth:06d}-{attempt}.sst"
+            with store.open_output_stream(path) as file:
+                file.write(shard.finish())
+            row = (part, nth, path, shard.keys[0], shard.keys[-1], len(shard.keys), shard.tokens, before)
+            kinds = (pa.int32(), pa.int32(), pa.string(), *[pa.int64()] * 5)
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [c.split()[0] for c in _MANIFEST.split(", ")])
 
         for batch in batches:
             for doc, text in zip(batch.column("doc"), batch.column("text"), strict=True):
                 shard.add(doc.as_py(), [*encoder.encode(text.as_py()), END_ID])
                 if shard.size() >= SHARD_BYTES:
                     yield done()
+                    nth, before = nth + 1, before + shard.tokens
                     shard = Writer(encoder.width)
         if shard.keys:
             yield done()
@@ -237,56 +262,61 @@ def _write(tokenizer):
 
 
 def write_shards(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """docs(doc_id, text) -> the table of written shards (first_id, last_id, n_docs, n_tokens, bytes)."""
-    bounded_batches(docs.sparkSession)
+    """docs(doc_id, text) -> the manifest of the files written, parts and shards in ascending doc_id."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
     with open(tokenizer, encoding="utf-8") as file:
-        vocabulary = docs.sparkSession.sparkContext.broadcast(file.read())
-    rows = docs.select(id_key().alias("doc"), text_of().alias("text"))
-    ranges = rows.repartitionByRange(shuffle_parts(docs.sparkSession), "doc").sortWithinPartitions("doc", "text")
-    return written(ranges.mapInArrow(_write(vocabulary), _SHARDS), "sstables")
+        vocabulary = spark.sparkContext.broadcast(file.read())
+    folder = arrow_path(spark, new_folder(spark, "sstables"))
+    # the place in the input comes last, so that equal rows are not bound to one task
+    rows = docs.select(id_key().alias("doc"), F.xxhash64(text_of()).alias("hash"), F.monotonically_increasing_id().alias("place"), text_of().alias("text"))
+    order = ("doc", "hash", "place")
+    ranges = rows.repartitionByRange(shuffle_parts(spark), *order).sortWithinPartitions(*order).select("doc", "text")
+    return written(ranges.mapInArrow(_write(vocabulary, folder), _MANIFEST), "sstable-manifest").withColumn("folder", F.lit(folder))
+
+
+def _open(folder: str, path: str) -> Shard:
+    from pyarrow.fs import FileSystem
+
+    return Shard(FileSystem.from_uri(folder)[0].open_input_file(path))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for base, data in zip(batch.column("base"), batch.column("bytes"), strict=True):
-            at, out = base.as_py(), []
-            for doc, ids in Shard(data.as_buffer()):
+        for folder, path, base in zip(*(batch.column(c).to_pylist() for c in ("folder", "path", "base")), strict=True):
+            at, out = base, []
+            for doc, ids in _open(folder, path):
                 out.append((doc, at, len(ids), zlib.crc32(ids.astype("<u4"))))
                 at += len(ids)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc", "start", "n_tokens", "ids_crc32"])
 
 
 def read_back(shards: DataFrame) -> DataFrame:
-    """The contract's columns, from the shards. A shard's first position is the sum over the shards before it; that
-    sum runs over one small row a shard."""
-    order = Window.orderBy("first_id", "last_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    # several shards may begin with the same doc_id only if its rows fill whole shards
-    bases = shards.select("first_id", "last_id", "n_docs", "n_tokens").withColumn("base", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)))
-    rows = shards.join(bases, ["first_id", "last_id", "n_docs", "n_tokens"]).select("base", "bytes")
-    found = rows.mapInArrow(_read, "doc long, start long, n_tokens long, ids_crc32 long")
+    """The contract's columns, from the files. A shard's first position is its place in its part, which the writer knows,
+    behind all parts before; there is one sum for each part, so as many as there were tasks."""
+    sums = sorted((r.part, r.n, r.shards) for r in shards.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("shards")).collect())
+    bases, total = [], 0
+    for part, n, _ in sums:
+        bases.append((part, total))
+        total += n
+    spark = shards.sparkSession
+    starts = spark.createDataFrame(bases, "part int, base long")
+    rows = shards.join(F.broadcast(starts), "part").select("folder", "path", (F.col("base") + F.col("before")).alias("base"))
+    found = rows.repartition(max(1, min(sum(n for *_, n in sums), 4 * shuffle_parts(spark))), "path").mapInArrow(_read, "doc long, start long, n_tokens long, ids_crc32 long")
     return found.select(id_back("doc").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
 def lookup(shards: DataFrame, doc_ids: list[int]) -> dict[int, list[int]]:
-    """Ids of a few documents: only shards whose range can hold one are read."""
+    """Ids of a few documents (of several with one doc_id, those of the first): only files whose range can hold one are
+    opened, and of these one block for each doc_id that the filter lets through."""
     can = F.exists(F.lit(doc_ids).cast("array<long>"), lambda x: x.between(F.col("first_id"), F.col("last_id")))
     out: dict[int, list[int]] = {}
-    for row in shards.where(can).select("bytes").toLocalIterator():
-        shard = Shard(bytes(row.bytes))
+    for row in shards.where(can).orderBy("part", "nth").select("folder", "path").toLocalIterator():
+        shard = _open(row.folder, row.path)
         out |= {d: ids.tolist() for d in doc_ids if d not in out and (ids := shard.get(d)) is not None}
     return out
 
 
-def export(shards: DataFrame, folder: str) -> list[str]:
-    """Writes the shards as files into a local folder of the driver, one at a time."""
-    names = []
-    for i, row in enumerate(shards.orderBy("first_id", "last_id").select("bytes").toLocalIterator()):
-        names.append(f"{folder}/shard-{i:06d}.sst")
-        with open(names[-1], "wb") as file:
-            file.write(row.bytes)
-    return names
-
-
 def digest(docs: DataFrame, tokenizer: str) -> DataFrame:
     """The contract's columns."""
     return read_back(write_shards(docs, tokenizer))
