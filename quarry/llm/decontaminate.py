@@ -2,27 +2,30 @@
 
 Numbers, names and units of a text become typed placeholders (#num, #name, #unit), so a benchmark question asked anew
 with other values has the same template. All windows of WINDOW canonical words are hashed and joined to the windows of
-the benchmark items; an item is leaked into a document if the document holds at least COVERAGE of its windows. For
-each window found, the values that the item and the document have in its slots are paired: a re-parameterised copy
-replaces each value by one other value throughout, so the share of item values that go to a single document value
-must be at least CONSISTENCY.
+the benchmark items. The windows found are told apart by occurrence: those on one diagonal (place in the document
+less place in the item) and, for copies with words put in or left out, those on neighbouring diagonals. An item
+is leaked into a document if one occurrence holds at least COVERAGE of its windows and its slots are consistent: the values
+that item and document have there are paired, a re-parameterised copy replaces each value by one other value
+throughout, and the share of item values that go to a single document value must be at least CONSISTENCY.
 
 Canonical forms. Number: digits with inner points and commas. Unit: a word of UNITS right after a number. Name: a
-word with a capital, then small letters, that does not open a sentence (nor the text). Everything else is lower case.
+word with a capital, then small letters, also where it opens a sentence (it then pairs with itself in a copy); of names
+in a row only the last counts, so that one of two words can stand for one of a single word. Everything else is lower
+case.
 
-The benchmark's windows are broadcast only if they are at most BROADCAST_WINDOWS; beyond that they are joined by
-shuffle. A window that many documents hold costs a row for each of them, never pairs of documents. All on Spark's own
-functions.
+The benchmark's windows are broadcast only if they are at most BROADCAST_WINDOWS; beyond that, rows of (document, place,
+hash) are joined to them by shuffle, and the documents' words are fetched for the windows found. A window that many
+documents hold costs a row for each of them, never pairs of documents. All on Spark's own functions.
 
 Defined cases: null or empty text of a document or an item has no windows and leaks nothing; an item of fewer words
-than WINDOW has one window, all its words; copies of an item are items of their own; rows with the same doc_id count
-as one document (its windows together); a null doc_id or item_id is matched like any other and comes back as null;
-other columns are passed over.
+than WINDOW has one window, all its words; copies of an item are items of their own; several texts under one doc_id, or
+under none, are matched each by itself, and the best of them counts; a null doc_id or item_id is matched like any other
+and comes back as null; other columns are passed over.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import held, id_back, id_key, node_key, text_of
@@ -30,6 +33,7 @@ from .shared import held, id_back, id_key, node_key, text_of
 WINDOW = 8
 COVERAGE = 0.5
 CONSISTENCY = 0.8
+#: Some 40 MB at most.
 BROADCAST_WINDOWS = 200_000
 
 #: Units after a number.
@@ -43,15 +47,19 @@ def _is_number(t: Column) -> Column:
     return (t >= "0") & (t < ":")
 
 
+def _is_name(t: Column) -> Column:
+    first, rest = F.substring(t, 1, 1), F.substring(t, F.lit(2), F.length(t))
+    return (first != F.lower(first)) & (rest != "") & (rest == F.lower(rest))
+
+
 def _typed(tokens: Column) -> Column:
-    """The canonical form of each token, null for the ends of sentences."""
+    """The canonical form of each token, null for the ends of sentences and for names before a name."""
 
     def one(t: Column, i: Column) -> Column:
         before = F.get(tokens, i - 1)
         low = F.lower(t)
-        first, rest = F.substring(t, 1, 1), F.substring(t, F.lit(2), F.length(t))
-        name = (i > 0) & ~before.isin(*_STOPS) & (first != F.lower(first)) & (rest != "") & (rest == F.lower(rest))
-        return F.when(t.isin(*_STOPS), F.lit(None)).when(_is_number(t), "#num").when(name, "#name").when((i > 0) & _is_number(before) & low.isin(*UNITS), "#unit").otherwise(low)
+        last = F.when(_is_name(F.coalesce(F.get(tokens, i + 1), F.lit(""))), F.lit(None)).otherwise("#name")
+        return F.when(t.isin(*_STOPS), F.lit(None)).when(_is_number(t), "#num").when(_is_name(t), last).when((i > 0) & _is_number(before) & low.isin(*UNITS), "#unit").otherwise(low)
 
     return F.transform(tokens, one)
 
@@ -81,37 +89,54 @@ def item_windows(items: DataFrame) -> DataFrame:
     return each.select("item", "windows", "at", "length", slots.alias("slots"), F.xxhash64(F.slice("shapes", F.col("at") + 1, F.col("length"))).alias("gram"))
 
 
-def matches(docs: DataFrame, items: DataFrame, by_text: bool = False) -> DataFrame:
-    """(doc_id, item_id, windows, found, coverage, slot_values, consistency) for each pair that shares a window. If
-    by_text, several texts under one doc_id are documents of their own, told apart by a column node (see node_key)."""
+def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc, item, windows, at, place, pairs) for each window that a document and an item share."""
     wanted = item_windows(items)
     facts = wanted.agg(F.count("*").alias("n"), F.collect_set(F.when(F.col("length") < WINDOW, F.col("length"))).alias("short")).first()
-    doc = node_key() if by_text else id_key()
-    shapes = canonical(docs.select(doc.alias("doc"), text_of().alias("text")), ["doc"])
+    shapes = canonical(docs.select(node_key().alias("doc"), text_of().alias("text")), ["doc"])
     rolled = held(F.col("shapes"), lambda x: F.concat(*[_rolled(x, n) for n in [WINDOW, *sorted(facts.short)]]))
-    every = shapes.withColumn("rolled", rolled).select("doc", "words", F.explode_outer("rolled").alias("w")).select("doc", "words", "w.place", "w.gram", "w.length")
-    right = F.broadcast(wanted) if facts.n <= BROADCAST_WINDOWS else wanted
-    hits = every.join(right, ["gram", "length"])
+    small = facts.n <= BROADCAST_WINDOWS
+    every = shapes.withColumn("rolled", rolled).select("doc", *(["words"] if small else []), F.explode_outer("rolled").alias("w")).select("*", "w.place", "w.gram", "w.length").drop("w")
+    if small:
+        found = every.join(F.broadcast(wanted), ["gram", "length"])
+    else:
+        found = every.join(wanted, ["gram", "length"]).join(shapes.select("doc", "words").dropDuplicates(["doc"]), "doc")
     pairs = F.transform("slots", lambda s: F.struct(s["value"].alias("item_value"), F.get("words", F.col("place") + s["k"]).alias("doc_value")))
-    found = hits.select("doc", "item", "windows", "at", pairs.alias("pairs")).groupBy("doc", "item", "windows").agg(
+    # rows alike give the same hits: one of each goes on
+    return found.select("doc", "item", "windows", "at", "place", pairs.alias("pairs")).distinct()
+
+
+def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(node, doc_id, item_id, windows, found, coverage, slot_values, consistency) for each text and item that share a
+    window, by the best occurrence: one that is a leak, then the largest coverage and consistency. node tells several
+    texts under one doc_id apart (see node_key)."""
+    off = F.col("place") - F.col("at")
+    by_off = Window.partitionBy("doc", "item").orderBy("off")
+    far = F.coalesce(F.col("off") - F.lag("off").over(by_off) > F.least(F.lit(WINDOW), F.col("windows") - 1), F.lit(False))
+    cut = _hits(docs, items).withColumn("off", off).withColumn("far", far.cast("int"))
+    cut = cut.withColumn("part", F.sum("far").over(by_off.rangeBetween(Window.unboundedPreceding, 0)))
+    each = cut.withColumn("one", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("off").cast("long").alias("no")), F.struct(F.lit(1).alias("kind"), F.col("part").alias("no")))))
+    found = each.groupBy("doc", "item", "windows", "one").agg(
         F.count_distinct("at").alias("found"),
         F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
     )
     values = F.size(F.array_distinct(F.col("pairs.item_value")))
-    return found.select(
-        *([id_back("doc.doc").alias("doc_id"), F.col("doc").alias("node")] if by_text else [id_back("doc").alias("doc_id")]),
-        id_back("item").alias("item_id"),
-        F.col("windows").cast("long").alias("windows"),
-        "found",
-        (F.col("found") / F.col("windows")).alias("coverage"),
-        values.cast("long").alias("slot_values"),
-        F.when(values == 0, 1.0).otherwise(values / F.size("pairs")).alias("consistency"),
-    )
+    consistency = F.when(values == 0, 1.0).otherwise(values / F.size("pairs"))
+    facts = found.select("doc", "item", "windows", "found", (F.col("found") / F.col("windows")).alias("coverage"), consistency.alias("consistency"), values.cast("long").alias("slot_values"))
+    leak = (F.col("coverage") >= COVERAGE) & (F.col("consistency") >= CONSISTENCY)
+    best = facts.groupBy("doc", "item", "windows").agg(F.max(F.struct(leak.alias("leak"), "coverage", "consistency", "slot_values", "found")).alias("best"))
+    return best.select(F.col("doc").alias("node"), id_back("doc.doc").alias("doc_id"), id_back("item").alias("item_id"), F.col("windows").cast("long").alias("windows"), "best.*")
 
 
-def leaks(docs: DataFrame, items: DataFrame, by_text: bool = False) -> DataFrame:
-    """The pairs that are leaks."""
-    return matches(docs, items, by_text).where((F.col("coverage") >= COVERAGE) & (F.col("consistency") >= CONSISTENCY))
+def leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The matches that are leaks, by text."""
+    return matches(docs, items).where("leak").drop("leak")
+
+
+def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, windows, found, coverage, slot_values, consistency) of the leaks."""
+    best = leaked(docs, items).groupBy("doc_id", "item_id", "windows").agg(F.max(F.struct("coverage", "consistency", "slot_values", "found")).alias("best"))
+    return best.select("doc_id", "item_id", "windows", "best.found", "best.coverage", "best.slot_values", "best.consistency")
 
 
 def oracle() -> str:
@@ -119,10 +144,13 @@ def oracle() -> str:
     units = ", ".join(f"'{u}'" for u in UNITS)
     stops = r"('.', '!', '?', chr(10))"
 
+    def name(x: str) -> str:
+        return f"(({x})[1] <> lower(({x})[1]) and ({x})[2:] <> '' and ({x})[2:] = lower(({x})[2:]))"
+
     def shapes(table: str, key: str) -> str:
         return rf"""select {key} k, list_filter(list_transform(t, lambda x, i: {{'word': x, 'shape':
   case when x in {stops} then null when x >= '0' and x < ':' then '#num'
-  when i > 1 and t[i - 1] not in {stops} and x[1] <> lower(x[1]) and x[2:] <> '' and x[2:] = lower(x[2:]) then '#name'
+  when {name("x")} then case when {name("coalesce(t[i + 1], '')")} then null else '#name' end
   when i > 1 and t[i - 1] >= '0' and t[i - 1] < ':' and lower(x) in ({units}) then '#unit' else lower(x) end}}), lambda y: y.shape is not null) w
   from (select {key}, regexp_extract_all(coalesce(text, ''), '[.!?\n]|[0-9]+(?:[.,][0-9]+)*|[\p{{L}}\p{{M}}]+') t from {table})"""
 
@@ -131,9 +159,13 @@ def oracle() -> str:
 
     return f"""
 with a as ({shapes("documents", "doc_id")}), b as ({shapes("benchmark", "item_id")}), x as ({windows("a")}), y as ({windows("b")}),
-h as (select x.k doc_id, y.k item_id, y.n windows, y.place pos, x.own da, y.own ia from x join y on x.gram = y.gram),
-f as (select doc_id, item_id, windows, count(distinct pos) found from h group by all),
-p as (select distinct doc_id, item_id, ia[j].word iv, da[j].word dv from h, unnest(range(1, {WINDOW + 1})) u(j) where ia[j].shape like '#%'),
-s as (select doc_id, item_id, count(distinct iv) v, count(*) c from p group by all)
-select doc_id, item_id, cast(windows as bigint) windows, found, found / windows coverage, cast(coalesce(v, 0) as bigint) slot_values, coalesce(v / c, 1.0)::double consistency
-from f left join s using (doc_id, item_id) where found / windows >= {COVERAGE} and coalesce(v / c, 1.0) >= {CONSISTENCY}"""
+h as (select x.k doc_id, y.k item_id, y.n windows, y.place pos, x.place - y.place off_, x.own da, y.own ia from x join y on x.gram = y.gram),
+c as (select *, case when off_ - lag(off_) over (partition by doc_id, item_id order by off_) > least({WINDOW}, windows - 1) then 1 else 0 end far from h),
+d as (select *, sum(far) over (partition by doc_id, item_id order by off_ range unbounded preceding) part from c),
+o as (select *, 0 kind, cast(off_ as bigint) no from d union all select *, 1, cast(part as bigint) from d),
+f as (select doc_id, item_id, windows, kind, no, count(distinct pos) found from o group by all),
+p as (select distinct doc_id, item_id, kind, no, ia[j].word iv, da[j].word dv from o, unnest(range(1, {WINDOW + 1})) u(j) where ia[j].shape like '#%'),
+s as (select doc_id, item_id, kind, no, count(distinct iv) v, count(*) c from p group by all),
+g as (select doc_id, item_id, cast(windows as bigint) windows, found, found / windows coverage, cast(coalesce(v, 0) as bigint) slot_values, coalesce(v / c, 1.0)::double consistency
+from f left join s using (doc_id, item_id, kind, no) where found / windows >= {COVERAGE} and coalesce(v / c, 1.0) >= {CONSISTENCY})
+select * from g qualify row_number() over (partition by doc_id, item_id order by coverage desc, consistency desc, slot_values desc, found desc) = 1"""

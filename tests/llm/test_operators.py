@@ -215,13 +215,35 @@ def test_templates(spark):
     items = spark.createDataFrame([(1, "If Alice buys 3 kg of apples for 5 dollars and then Alice sells 3 kg back to Bob, how many does Alice keep?"), (2, "short one Here"), (3, None), (4, "")], "item_id long, text string")
     again = "Foo. If Carol buys 7 kg of apples for 9 dollars and then Carol sells 7 kg back to Dan, how many does Carol keep?"
     mixed = "If Carol buys 7 kg of apples for 9 dollars and then Eve sells 8 kg back to Dan, how many does Zoe keep?"
-    rows = [(1, again), (2, mixed), (3, None), (4, ""), (5, "a short one Here, too"), (6, "nothing of the kind"), (None, again)]
+    rows = [(1, again), (2, mixed), (3, None), (4, ""), (5, "a short one Here, too"), (6, "nothing of the kind"), (None, again), (None, "nothing"), (7, "nothing"), (7, again), (8, mixed), (8, mixed)]
     found = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
-    assert {(r.doc_id, r.item_id) for r in found} == {(1, 1), (None, 1), (5, 2)}
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, 1), (None, 1), (5, 2), (7, 1)}
     assert decontaminate.leaks(items.limit(0).withColumnRenamed("item_id", "doc_id"), items).count() == 0
     assert decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), items.limit(0)).count() == 0
 
 
+def test_template_occurrences_and_opening_names(spark):
+    """Each occurrence counts by itself, and names that open a sentence are slots, too."""
+    item = "Tom has 12 apples. Tom gives 5 to Ann. Then Ann gives 2 back to New York. How many apples does Tom have left now?"
+    other = item.replace("Tom", "Sam").replace("12", "31").replace("5", "9").replace("Ann", "Eve").replace("New York", "Paris")
+    mixed = "Sam has 31 apples. Leo gives 9 to Eve. Then Max gives 4 back to Paris. How many apples does Kim have left now?"
+    long = " ".join(f"x{i}" for i in range(20_000))
+    rows = [(1, f"{item} and {other}"), (2, f"{long} {item} {long}"), (3, other), (4, mixed), (5, f"{other} z {mixed} z {other.replace('Sam', 'Bill')}"), (6, item.replace("apples.", "red apples."))]
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, item string, place int")
+    found = {r.doc_id: r for r in decontaminate.leaks(docs, items).collect()}
+    assert set(found) == {1, 2, 3, 5, 6}
+    assert all(found[d].coverage == 1 and found[d].consistency == 1 for d in (1, 2, 3, 5))
+
+
+def test_templates_joined_by_shuffle(spark, sf, duck, monkeypatch):
+    from conftest import same_rows
+
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
+    name = "op2_template_decontamination"
+    same_rows(queries.queries()[name](spark, sf), duck, queries.oracle_sql()[name])
+
+
 def test_fingerprints(docs, odd):
     got = {r.doc_id: r for r in fingerprint.fingerprints(docs).collect()}
     rows = sorted(plain(docs))
