@@ -43,7 +43,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item stay; each row goes or stays by its own text."""
-    leaked = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"), by_text=True).select(F.col("node").alias("_leaked")).distinct()
+    leaked = decontaminate.leaked(docs, table(spark, sf_dir, "benchmark")).select(F.col("node").alias("_leaked")).distinct()
     return docs.join(leaked, node_key() == F.col("_leaked"), "left_anti").select(docs.columns)
 
 
