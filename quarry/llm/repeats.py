@@ -187,10 +187,10 @@ def _by_row(row: np.ndarray, nth: np.ndarray) -> Iterator[tuple[int, bytes]]:
         yield int(row[a]), nth[a:b].tobytes()
 
 
-def _again(heavy: int):
+def _again(heavy: int, buckets: int):
     def again(table: pa.Table) -> pa.Table:
-        """Of a bucket: (row, anchors) that begin a repeat, and (key, times) of PREFIX-grams that more than heavy blocks
-        have."""
+        """Of a bucket: the anchors that begin a repeat, packed for buckets of rows, and (key, times) of PREFIX-grams that
+        more than heavy blocks have."""
         ready = table.filter(table.column("row").is_valid())
         nths = [np.frombuffer(p, np.uint32) for p in ready.column("anchors").to_pylist()]
         found = [(np.repeat(ready.column("row").to_numpy().astype(np.int64), [len(x) for x in nths]), np.concatenate(nths))] if nths else []
@@ -209,17 +209,30 @@ def _again(heavy: int):
             found.append((row[often], nth[often]))
             hot = np.flatnonzero(size > heavy)
             key, times = own[lead[hot]].view(np.int64).tolist(), size[hot].tolist()
-        rows, anchors = [], []
+        to, anchors = [], []
         if found:
-            for r, p in _by_row(*(np.concatenate(x) for x in zip(*found, strict=True))):
-                rows.append(r)
-                anchors.append(p)
+            row, nth = (np.concatenate(x) for x in zip(*found, strict=True))
+            bucket = (scan.mix(row.view(np.uint64), 5) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            row, nth, bucket = row[order], nth[order].astype(np.uint32), bucket[order]
+            for a, b in zip(*scan.groups(bucket), strict=True):
+                to.append(int(bucket[a]))
+                anchors.append(_halves(row[a:b]) + nth[a:b].tobytes())
         none = [None] * len(key)
-        return pa.table({"row": pa.array(rows + none, pa.int64()), "anchors": pa.array(anchors + none, pa.binary()), "key": pa.array([None] * len(rows) + key, pa.int64()), "times": pa.array([None] * len(rows) + times, pa.int64())})
+        return pa.table({"bucket": pa.array(to + none, pa.int64()), "anchors": pa.array(anchors + none, pa.binary()), "key": pa.array([None] * len(to) + key, pa.int64()), "times": pa.array([None] * len(to) + times, pa.int64())})
 
     return again
 
 
+def _gathered(table: pa.Table) -> pa.Table:
+    """Of a bucket of rows: each row's repeated anchors."""
+    parts = table.column("anchors").to_pylist()
+    row = np.concatenate([_unhalved(p, len(p) // 12, 0) for p in parts])
+    nth = np.concatenate([np.frombuffer(p, np.uint32, len(p) // 12, len(p) // 12 * 8) for p in parts])
+    found = list(_by_row(row, nth))
+    return pa.table({"row": pa.array([r for r, _ in found], pa.int64()), "anchors": pa.array([p for _, p in found], pa.binary())})
+
+
 # --- step 2: the subtrees
 
 
@@ -348,7 +361,7 @@ def _deal(plan):
                 own = data[offsets[i] : offsets[j]]
                 words = scan.Words(own, offsets[i : j + 1] - offsets[i], scan.SPACED)
                 a = Anchors(words)
-                lists = [np.unique(np.frombuffer(b"".join(x), np.uint32)).astype(np.int64) for x in anchors.slice(i, j - i).to_pylist()]
+                lists = [np.frombuffer(x, np.uint32).astype(np.int64) for x in anchors.slice(i, j - i).to_pylist()]
                 base = np.searchsorted(a.doc, np.arange(j - i + 1))
                 use = np.concatenate([base[k] + x[x < base[k + 1] - base[k]] for k, x in enumerate(lists)])
                 if not len(use):
@@ -399,13 +412,14 @@ def repeated_windows(rows: DataFrame, bucket_bytes: int = BUCKET_BYTES, group_su
     bounded_batches(spark)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     share = max(2, group_suffixes // 4)
-    met = rows.select("row", "text").mapInArrow(_meet(-(-size // bucket_bytes) or 1), _MET)
-    found = written(met.groupBy("bucket").applyInArrow(_again(share), "row long, anchors binary, key long, times long"), "repeat-anchors")
+    buckets = -(-size // bucket_bytes) or 1
+    met = rows.select("row", "text").mapInArrow(_meet(buckets), _MET)
+    found = written(met.groupBy("bucket").applyInArrow(_again(share, buckets), "bucket long, anchors binary, key long, times long"), "repeat-anchors")
     total = found.agg(F.sum(F.octet_length("anchors"))).first()[0] or 0
     # at most one key for every share of all anchors
     heavy = [(r.key, r.times) for r in found.where("key is not null").select("key", "times").collect()]
-    plan = spark.sparkContext.broadcast(Plan(-(-total // (4 * group_suffixes)) or 1, heavy, share))
-    anchors = found.where("row is not null").groupBy("row").agg(F.collect_list("anchors").alias("anchors"))
+    plan = spark.sparkContext.broadcast(Plan(-(-total // (12 * group_suffixes)) or 1, heavy, share))
+    anchors = found.where("bucket is not null").select("bucket", "anchors").groupBy("bucket").applyInArrow(_gathered, "row long, anchors binary")
     trees = rows.join(anchors, "row").mapInArrow(_deal(plan), _DEALT).groupBy("group").applyInArrow(_subtree(plan), _DEALT)
     if heavy:
         first = written(trees, "repeat-parts")
