@@ -1,17 +1,20 @@
 """Quality scores by co-training.
 
-Two views of a document: its text (byte trigrams, hashed, as square roots of relative frequencies) and its page
-metadata (language, source, length and layout: lines, their lengths, shares of capitals, digits, marks and blanks,
-how often words repeat). Each view has a logistic classifier. In each round each classifier labels the unlabelled
-documents it is surest of, and these pseudo-labels go to the other view's training rows. At the end both views'
-margins are calibrated on labelled rows kept apart, and their sum scores every document.
-
-Fitted on at most SAMPLE labelled rows (none of them held out) and at most POOL unlabelled ones, the least by a hash
-of doc_id; these bounds are the only limit. Every document is scored over its whole text.
-
-Defined cases: null or empty text has an empty text view; null lang or source is a value of its own; missing metadata
-columns count as null; without both labels every score is the share of good rows in the sample (0.5 without rows);
-labels other than 0 and 1 are passed over, of several for one doc_id the largest counts; rows with one doc_id are
+Two views of a document that share nothing: its text (byte trigrams, hashed, as square roots of relative frequencies)
+and its page's metadata as the table has it (language, source, length class). Each view has a Bayes classifier,
+normal distributions for the text and counts for the metadata, whose margins are calibrated on labelled rows kept apart.
+In each round both classifiers score every unlabelled document, and those that one is sure of become training rows of
+the other one's view, with the label it gives them. What a classifier is fitted on are sums over its rows, so a round
+is one pass over all documents with partial sums added up by Spark. At the end the calibrated views are combined, and
+the sum scores every document.
+
+Labels are taken from at most SAMPLE labelled rows, the least by a hash of doc_id, none of them held out (and one row
+for each doc_id, the least by a hash of its text). That is the only bound: all unlabelled documents are looked at in
+each round, and all that are sure count. Pseudo-labelled rows of a label weigh together no more than its labelled rows.
+
+Defined cases: null or empty text has an empty text view; null lang, source or n_chars is a value of its own; missing
+metadata columns count as null; without both labels every score is the share of good rows in the sample (0.5 without
+rows); labels other than 0 and 1 are passed over, of several for one doc_id the largest counts; rows with one doc_id are
 scored each by its own; other columns are passed over.
 """
 
@@ -29,12 +32,12 @@ from . import scan
 from .shared import bounded_batches, text_of
 from .toxicity import held_out
 
-SAMPLE, POOL = 4_000, 4_000
+SAMPLE = 4_000
 TEXT_SLOTS, NAME_SLOTS = 2048, 64
-ROUNDS = 4
+ROUNDS = 2
+#: The calibrated probability from which a document is taken as labelled.
 SURE = 0.95
-PSEUDO = 400
-_LAYOUT = 11
+_NAMES = 3 * NAME_SLOTS
 
 
 def text_view(n_docs: int, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -50,143 +53,182 @@ def text_view(n_docs: int, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.sqrt(out / np.maximum(out.sum(1, keepdims=True), 1))
 
 
-def metadata_view(n_docs: int, data: np.ndarray, offsets: np.ndarray, langs: list, sources: list) -> np.ndarray:
-    """Hashed names and layout."""
-    doc = np.repeat(np.arange(n_docs), np.diff(offsets))
-    size = np.maximum(np.diff(offsets), 1)
-    share = lambda which: np.bincount(doc[which], minlength=n_docs) / size
-    lines = np.bincount(doc[data == 10], minlength=n_docs) + 1
-    words = scan.Words(data, offsets, scan.SPACED)
-    n_words = np.maximum(np.bincount(words.doc, minlength=n_docs), 1)
-    kinds = np.unique((words.doc.astype(np.uint64) << np.uint64(40)) | (words.hash >> np.uint64(24)))
-    distinct = np.bincount((kinds >> np.uint64(40)).astype(np.int64), minlength=n_docs)
-    marks = (data > 32) & (data < 128) & ~((data >= 48) & (data <= 57)) & ~((data >= 65) & (data <= 90)) & ~((data >= 97) & (data <= 122))
-    layout = np.stack([np.log1p(size) / 10, np.log1p(lines) / 5, np.log1p(size / lines) / 8, share((data >= 65) & (data <= 90)), share((data >= 48) & (data <= 57)), share(marks), share(data <= 32), share(data >= 128), distinct / n_words, np.log1p(n_words / np.maximum(distinct, 1)), size / n_words / 20], 1)
-    names = np.zeros((n_docs, 2 * NAME_SLOTS), np.float32)
-    for column, values in enumerate((langs, sources)):
-        slots = [column * NAME_SLOTS + zlib.crc32(repr(v).encode()) % NAME_SLOTS for v in values]
-        names[np.arange(n_docs), slots] = 0.3
-    return np.concatenate([layout, np.maximum(layout - 0.1, 0), names], 1).astype(np.float32)
-
-
-class Logistic:
-    """Logistic regression by Nesterov's gradient steps, with decay; features are scaled by their deviation."""
-
-    def __init__(self, x: np.ndarray, y: np.ndarray, steps: int = 80, decay: float = 1e-3):
-        self.mean, self.scale = x.mean(0), 1 / np.sqrt(x.var(0) + 1e-5)
-        z = (x - self.mean) * self.scale
-        weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3)).astype(np.float32)
-        rate = 4 / (np.square(np.linalg.norm(z, axis=1)).mean() * weight.max() + 1e-6) * 4
-        self.w, self.b = np.zeros(x.shape[1], np.float32), 0.0
-        vw, vb = self.w.copy(), 0.0
-        for k in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(z @ vw + vb, -30, 30)))
-            g = (p - y) * weight / len(y)
-            w, b = vw - rate * (z.T @ g + decay * vw), vb - rate * g.sum()
-            vw, vb = w + k / (k + 3) * (w - self.w), b + k / (k + 3) * (b - self.b)
-            self.w, self.b = w.astype(np.float32), float(b)
-
-    def margin(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.mean) * self.scale) @ self.w + self.b
+def metadata_view(langs: list, sources: list, sizes: list) -> np.ndarray:
+    """For each document a slot for its language, its source and the octave of its length."""
+    hashed = lambda v: zlib.crc32(repr(v).encode()) % NAME_SLOTS
+    octave = lambda n: NAME_SLOTS - 1 if n is None else min(max(n, 0).bit_length(), NAME_SLOTS - 2)
+    return np.array([(hashed(a), NAME_SLOTS + hashed(b), 2 * NAME_SLOTS + octave(n)) for a, b, n in zip(langs, sources, sizes, strict=True)], np.int64).reshape(-1, 3)
 
 
-class Model:
-    """Both views and the weights that combine their calibrated margins."""
+class Sums:
+    """What both classifiers are fitted on: for each label the rows, sums and squares of the text view, and for each label
+    the metadata slots' counts."""
 
-    def __init__(self, views: list[Logistic] | None, weights: np.ndarray):
-        self.views, self.weights = views, weights
+    def __init__(self):
+        self.text = np.zeros((2, 1 + 2 * TEXT_SLOTS))
+        self.names = np.zeros((2, 1 + _NAMES))
 
-    def scores(self, text: np.ndarray, metadata: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if self.views is None:
-            same = np.full(len(text), self.weights[0])
-            return same, same, same
-        a, b = self.views[0].margin(text), self.views[1].margin(metadata)
-        sigmoid = lambda m: 1 / (1 + np.exp(-np.clip(m, -30, 30)))
-        (c0, c1), (d0, d1), (e0, e1, e2) = self.weights
-        return sigmoid(e0 + e1 * a + e2 * b), sigmoid(c0 + c1 * a), sigmoid(d0 + d1 * b)
+    def add_text(self, x: np.ndarray, label: np.ndarray) -> None:
+        for k in (0, 1):
+            own = x[label == k]
+            self.text[k, 0] += len(own)
+            self.text[k, 1 : 1 + TEXT_SLOTS] += own.sum(0, dtype=np.float64)
+            self.text[k, 1 + TEXT_SLOTS :] += np.einsum("ij,ij->j", own, own, dtype=np.float64)
+
+    def add_names(self, slots: np.ndarray, label: np.ndarray) -> None:
+        for k in (0, 1):
+            own = slots[label == k]
+            self.names[k, 0] += len(own)
+            self.names[k, 1:] += np.bincount(own.ravel(), minlength=_NAMES)
+
+    def with_pseudo(self, other: Sums) -> Sums:
+        """These labelled rows and the others, weighed down to them."""
+        out = Sums()
+        for mine, more, to in ((self.text, other.text, out.text), (self.names, other.names, out.names)):
+            weight = np.minimum(1, mine[:, :1] / np.maximum(more[:, :1], 1))
+            to += mine + weight * more
+        return out
+
+
+class Views:
+    """Both classifiers: margins of the text and of the metadata for label 1 against label 0."""
 
+    def __init__(self, sums: Sums):
+        n, total, squares = sums.text[:, :1], sums.text[:, 1 : 1 + TEXT_SLOTS], sums.text[:, 1 + TEXT_SLOTS :]
+        mean = total / np.maximum(n, 1)
+        spread = np.maximum(squares / np.maximum(n, 1) - mean**2, 0) + 1e-4
+        # sum of (x - m)^2 / s for both labels is linear in x and x^2
+        self.square = ((1 / spread[0] - 1 / spread[1]) / 2).astype(np.float32)
+        self.line = (mean[1] / spread[1] - mean[0] / spread[0]).astype(np.float32)
+        self.base = float(((mean[0] ** 2 / spread[0] + np.log(spread[0])) - (mean[1] ** 2 / spread[1] + np.log(spread[1]))).sum() / 2)
+        counts = sums.names[:, 1:].reshape(2, 3, NAME_SLOTS) + 1
+        self.slots = np.diff(np.log(counts / counts.sum(2, keepdims=True)), axis=0).ravel()
 
-def _calibrated(x: np.ndarray, y: np.ndarray) -> list[float]:
+    def margins(self, text: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (text @ self.line + np.square(text) @ self.square + self.base).astype(np.float64) / 100, self.slots[names].sum(1)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def _calibrated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Platt scaling: intercept and slopes by Newton's steps with a little decay."""
     x = np.concatenate([np.ones((len(x), 1)), x], 1)
     w = np.zeros(x.shape[1])
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = _sigmoid(x @ w)
         w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(len(w)), x.T @ (p - y) + 0.1 * w)
-    return w.tolist()
-
-
-def cotrain(text: np.ndarray, metadata: np.ndarray, y: np.ndarray, apart: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """y is 0, 1 or -1 (unlabelled); rows marked apart calibrate and are not trained on."""
-    known = y >= 0
-    if len(set(y[known].tolist())) < 2 or len(set(y[known & ~apart].tolist())) < 2:
-        return Model(None, np.array([y[known].mean() if known.any() else 0.5]))
-    x = [text, metadata]
-    train = [y.copy(), y.copy()]
-    for t in train:
-        t[apart] = -1
-    views = [Logistic(x[v][train[v] >= 0], train[v][train[v] >= 0]) for v in (0, 1)]
-    for _ in range(rounds):
-        for v in (0, 1):
-            p = 1 / (1 + np.exp(-np.clip(views[v].margin(x[v]), -30, 30)))
-            free = (train[1 - v] < 0) & ~apart & ~known
-            for label, sure in ((1, p), (0, 1 - p)):
-                at = np.flatnonzero(free & (sure >= SURE))
-                at = at[np.argsort(-sure[at], kind="stable")][: PSEUDO if label else PSEUDO // 4]
-                train[1 - v][at] = label
-        views = [Logistic(x[v][train[v] >= 0], train[v][train[v] >= 0]) for v in (0, 1)]
-    fit = apart & known if len(set(y[apart & known].tolist())) == 2 else known
-    a, b = views[0].margin(text[fit]), views[1].margin(metadata[fit])
-    return Model(views, [_calibrated(a[:, None], y[fit]), _calibrated(b[:, None], y[fit]), _calibrated(np.stack([a, b], 1), y[fit])])
+    return w
+
+
+class Model:
+    """Views and their calibration, each alone and both together; views is None if there was nothing to tell apart."""
+
+    def __init__(self, views: Views | None, text: np.ndarray, names: np.ndarray, y: np.ndarray):
+        self.views = views
+        if views is None:
+            self.share = float(y.mean()) if len(y) else 0.5
+            return
+        a, b = views.margins(text, names)
+        self.alone = [_calibrated(x[:, None], y) for x in (a, b)]
+        self.both = _calibrated(np.stack([a, b], 1), y)
+
+    def scores(self, text: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of both views, of the text, of the metadata."""
+        if self.views is None:
+            same = np.full(len(text), self.share)
+            return same, same, same
+        a, b = self.views.margins(text, names)
+        (c0, c1), (d0, d1), (e0, e1, e2) = *self.alone, self.both
+        return _sigmoid(e0 + e1 * a + e2 * b), _sigmoid(c0 + c1 * a), _sigmoid(d0 + d1 * b)
 
 
 def _views(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     offsets, data = scan.utf8(batch.column("text"))
-    langs, sources = batch.column("lang").to_pylist(), batch.column("source").to_pylist()
+    langs, sources, sizes = (batch.column(c).to_pylist() for c in ("lang", "source", "size"))
     for i, j in scan.blocks(offsets):
         for a in range(i, j, 1024):  # short texts: the dense text view bounds the block, too
             b = min(a + 1024, j)
-            own, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-            yield a, b, text_view(b - a, own, at), metadata_view(b - a, own, at, langs[a:b], sources[a:b])
+            yield a, b, text_view(b - a, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]), metadata_view(langs[a:b], sources[a:b], sizes[a:b])
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b, text, metadata in _views(batch):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("quality").slice(a, b - a), batch.column("apart").slice(a, b - a), pa.array([x.astype(np.float16).tobytes() for x in text], pa.binary()), pa.array([x.tobytes() for x in metadata], pa.binary())], ["doc_id", "quality", "apart", "text_view", "metadata_view"])
+        for a, b, text, names in _views(batch):
+            rows = lambda x: pa.array([r.tobytes() for r in x], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), batch.column("quality").slice(a, b - a), rows(text.astype(np.float16)), rows(names)], ["id", "quality", "text_view", "names"])
+
+
+def _exchanged(model):
+    """(view, label, slot, value): sums over the unlabelled documents that the other view is sure of."""
+
+    def exchanged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Sums()
+        for batch in batches:
+            free = batch.column("free").to_numpy(zero_copy_only=False)
+            for a, b, text, names in _views(batch):
+                _, by_text, by_names = model.value.scores(text, names)
+                label = lambda p: np.where(free[a:b] & (p >= SURE), 1, np.where(free[a:b] & (p <= 1 - SURE), 0, -1))  # noqa: B023, E731
+                sums.add_names(names, label(by_text))
+                sums.add_text(text, label(by_names))
+        for view, table in enumerate((sums.text, sums.names)):
+            label, slot = np.nonzero(table)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), view), pa.int32()), pa.array(label, pa.int32()), pa.array(slot, pa.int32()), pa.array(table[label, slot])], ["view", "label", "slot", "value"])
+
+    return exchanged
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    name = lambda c: F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), name("lang").alias("lang"), name("source").alias("source"))
+    name = lambda c, kind: F.col(c).cast(kind) if c in docs.columns else F.lit(None).cast(kind)
+    return docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text"), name("lang", "string").alias("lang"), name("source", "string").alias("source"), name("n_chars", "long").alias("size"))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL) -> Model:
-    bounded_batches(docs.sparkSession)
+_VIEWS = ("text", "lang", "source", "size")
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> Model:
+    spark = docs.sparkSession
+    bounded_batches(spark)
     good = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and _id is not null")
-    known = good.where(~held_out("_id")).groupBy("_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    ids = docs.select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null").distinct()
-    free = ids.join(good.select("_id"), "_id", "left_anti").orderBy(F.xxhash64("_id"), "_id").limit(pool).withColumn("quality", F.lit(-1))
-    # at most SAMPLE + POOL pairs of numbers
-    picked = F.broadcast(known.unionByName(free))
-    rows = _rows(docs).join(picked, F.col("doc_id") == F.col("_id")).withColumn("apart", F.crc32(F.col("_id").cast("string").cast("binary")) % 5 == 1).drop("_id")
-    found = sorted(rows.mapInArrow(_sampled, "doc_id long, quality int, apart boolean, text_view binary, metadata_view binary").limit(2 * (sample + pool)).collect(), key=lambda r: (r.doc_id, r.quality, r.text_view))
+    # at most SAMPLE pairs of numbers
+    picked = good.where(~held_out("_id")).groupBy("_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    rows = _rows(docs)
+    one = rows.join(F.broadcast(picked), F.col("id") == F.col("_id")).groupBy("id", "quality").agg(F.min_by(F.struct(*_VIEWS), F.xxhash64(*_VIEWS)).alias("row")).select("id", "quality", "row.*")
+    found = sorted(one.mapInArrow(_sampled, "id long, quality int, text_view binary, names binary").collect(), key=lambda r: r.id)
     text = np.frombuffer(b"".join(r.text_view for r in found), np.float16).astype(np.float32).reshape(-1, TEXT_SLOTS)
-    metadata = np.frombuffer(b"".join(r.metadata_view for r in found), np.float32).reshape(-1, 2 * _LAYOUT + 2 * NAME_SLOTS)
-    return cotrain(text, metadata, np.array([r.quality for r in found], np.int64), np.array([r.apart for r in found], bool))
+    names = np.frombuffer(b"".join(r.names for r in found), np.int64).reshape(-1, 3)
+    y = np.array([r.quality for r in found], np.int64)
+    apart = np.array([zlib.crc32(str(r.id).encode()) % 5 == 1 for r in found], bool)
+    if len(set(y[~apart].tolist())) < 2:
+        return Model(None, text, names, y)
+    fit = apart if len(set(y[apart].tolist())) == 2 else ~apart
+    known = Sums()
+    known.add_text(text[~apart], y[~apart])
+    known.add_names(names[~apart], y[~apart])
+    model = Model(Views(known), text[fit], names[fit], y[fit])
+    # labels of any kind make a document known, held-out ones too: they are no unlabelled rows
+    free = rows.join(good.select("_id").distinct(), F.col("id") == F.col("_id"), "left").select(*_VIEWS, F.col("_id").isNull().alias("free"))
+    for _ in range(rounds):
+        parts = free.mapInArrow(_exchanged(spark.sparkContext.broadcast(model)), "view int, label int, slot int, value double")
+        pseudo = Sums()
+        for r in parts.groupBy("view", "label", "slot").agg(F.sum("value").alias("value")).collect():  # a row a slot
+            (pseudo.text, pseudo.names)[r.view][r.label, r.slot] = r.value
+        model = Model(Views(known.with_pseudo(pseudo)), text[fit], names[fit], y[fit])
+    return model
 
 
 def _scorer(model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, text, metadata in _views(batch):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), *(pa.array(x.astype(np.float64)) for x in model.value.scores(text, metadata))], ["doc_id", "score", "text_score", "metadata_score"])
+            for a, b, text, names in _views(batch):
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), *(pa.array(x.astype(np.float64)) for x in model.value.scores(text, names))], ["doc_id", "score", "text_score", "metadata_score"])
 
     return score
 
 
-def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> DataFrame:
     """docs -> (doc_id, held_out, score, text_score, metadata_score, predicted): probabilities of good quality."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample, pool))
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample, rounds))
     found = _rows(docs).mapInArrow(_scorer(model), "doc_id long, score double, text_score double, metadata_score double")
     return found.select("doc_id", held_out().alias("held_out"), "score", "text_score", "metadata_score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -7,7 +7,7 @@ whose own rows, or whose common rows with another slot, are toxic more or less o
 slots are looked at, so two terms that tell nothing alone are fitted if they do together.
 
 The model is fitted on at most SAMPLE labelled rows, the least by a hash of doc_id, none of them held out
-(crc32 of doc_id as text, mod 5, is 0). That bound is the only limit: every document is scored over its whole text,
+(crc32 of doc_id as text, mod 5, is 0); of several rows with one doc_id, on the least by a hash of the text. That bound is the only limit: every document is scored over its whole text,
 and only the model (a few MB, whatever the input) goes to the executors.
 
 Defined cases: null or empty text has no terms and gets the sigmoid of the bias; without both labels in the sample
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
-from .shared import bounded_batches
+from .shared import bounded_batches, text_of
 
 SAMPLE = 16_000
 SLOT_BITS = 18
@@ -183,8 +183,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     good = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and _id is not null")
     picked = good.where(~held_out("_id")).groupBy("_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     # the sample is at most SAMPLE rows of two numbers
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("toxic", "text")
-    found = rows.mapInArrow(_terms, "toxic int, slots binary").limit(2 * sample).collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
+    one = rows.groupBy("_id", "toxic").agg(F.min_by(text_of(), F.xxhash64(text_of())).alias("text")).select("toxic", "text")
+    found = one.mapInArrow(_terms, "toxic int, slots binary").collect()  # at most sample rows
     return fit(sorted((r.toxic, bytes(r.slots)) for r in found))
 
 

@@ -345,10 +345,45 @@ def test_held_out_accuracy(spark):
 
 def test_quality_on_awkward_rows(spark, odd, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
-    found = cotrain.scored(odd, labels, 200, 100).collect()
+    found = cotrain.scored(odd, labels, 200).collect()
     assert len(found) == len(TEXTS) and all(0 <= r.score <= 1 for r in found)
     assert cotrain.scored(odd, labels.limit(0)).first().score == 0.5
     assert cotrain.scored(odd.limit(0).select("doc_id", "text"), labels).count() == 0
+    again = odd.unionByName(odd).select("doc_id", F.concat(F.lit("x " * 100_000), F.coalesce("text", F.lit(""))).alias("text"))
+    marks = spark.createDataFrame([(i, i % 2) for i in range(1, 13)], "doc_id long, quality int")
+    found = cotrain.scored(again, marks).collect()
+    assert len(found) == 2 * len(TEXTS) and all(0 <= r.score <= 1 for r in found)
+
+
+def test_views_teach_each_other(spark):
+    """Text tells what metadata cannot learn from few labels, and the other way round; by brute force over all rows."""
+    import numpy as np
+
+    good, bad = "the quick story of a river " * 5, "$$$ ### %%% !!! *** &&& " * 5
+    rows = [(i, (good if i % 2 else bad) + f"{i}", "en", f"s{i % 2}", 100 + i % 3) for i in range(3000)]
+    # texts that tell nothing, from sources that only pseudo-labels can teach
+    rows += [(i, "12345 67890 " * 9, "en", f"s{i % 2}", 100) for i in range(3000, 3200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(7)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    found = {r.doc_id: r for r in cotrain.scored(docs, labels).collect()}
+    assert np.mean([(found[i].score >= 0.5) == (i % 2 == 1) for i, *_ in rows[:3000]]) > 0.99
+    assert all((found[i].metadata_score >= 0.5) == (i % 2 == 1) for i, *_ in rows)
+    first = cotrain.train(docs, labels, rounds=0)
+    second = cotrain.train(docs, labels, rounds=1)
+    text = lambda part: cotrain.text_view(len(part), np.frombuffer("".join(r[1] for r in part).encode(), np.uint8), np.append(0, np.cumsum([len(r[1]) for r in part])))
+    names = lambda part: cotrain.metadata_view(*zip(*[r[2:] for r in part], strict=True))
+    known = [r for r in rows if r[0] < 40 and not toxicity.held_out_by_hand(r[0]) and zlib.crc32(str(r[0]).encode()) % 5 != 1]
+    free = [r for r in rows if r[0] >= 40]
+    a, b = cotrain.Sums(), cotrain.Sums()
+    a.add_text(text(known).astype(np.float16).astype(np.float32), np.array([r[0] % 2 for r in known]))
+    a.add_names(names(known), np.array([r[0] % 2 for r in known]))
+    _, by_text, by_names = first.scores(text(free), names(free))
+    sure = lambda p: np.where(p >= cotrain.SURE, 1, np.where(p <= 1 - cotrain.SURE, 0, -1))
+    b.add_names(names(free), sure(by_text))
+    b.add_text(text(free), sure(by_names))
+    assert b.names[:, 0].sum() > 0
+    want = cotrain.Views(a.with_pseudo(b))
+    assert np.allclose(want.slots, second.views.slots) and np.allclose(want.line, second.views.line, rtol=1e-3, atol=1e-3)
 
 
 def test_languages(spark, sf, docs):
