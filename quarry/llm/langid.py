@@ -6,12 +6,13 @@ log P(l | page) = log prior(l | host) + text evidence + log P(declared | l) + lo
   documents (the least by a hash of doc_id) and their lang; the mean log likelihood counts as TEXT_WEIGHT trigrams,
   so a long text does not drown the rest.
 * Declared: the two letters of the html element's lang attribute; address: the two letters that may open the path.
-  Their likelihoods come from counts over all pages against the language that the text alone gives.
-* Host priors: counts by grouped aggregation over all pages, smoothed from level to level: all pages, address suffix,
-  site (last two labels of the host), host. A page's own count is taken out of its prior.
+  Their likelihoods come from counts over all pages. No page's language is taken as known: it counts for each language
+  with the probability that its text alone gives it, so a page with little text says little.
+* Host priors: such counts by grouped aggregation over all pages, smoothed from level to level: all pages, address
+  suffix, site (last two labels of the host), host. A page's own count is taken out of its prior.
 
-Counts are grouped with partial sums and joined back by key, one row a key; nothing but the trigram models and the
-tables of two-letter codes (at most 676 rows) is sent to all.
+Counts are grouped with partial sums and joined back by key, one row a key; nothing but the trigram models (one for
+each language of the sample) and the tables of two-letter codes (at most 676 rows) is sent to all.
 
 Defined cases: null or empty html has no text and no declaration; null url has an empty host; a page without any
 evidence gets the language most pages have; without labelled documents every page is "und"; rows with one page_id are
@@ -36,7 +37,6 @@ TEXT_WEIGHT = 30.0
 #: Pages that a parent level counts for in a host's, site's or suffix's prior.
 PARENT = 5.0
 ALPHA = 0.5
-MOST_LANGUAGES = 200
 UNKNOWN = "und"
 
 
@@ -84,8 +84,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
     sums: dict[str, np.ndarray] = {}
     for r in rows.mapInArrow(_counts, "lang string, counts binary").collect():  # at most 16 rows a language
         sums[r.lang] = sums.get(r.lang, 0) + np.frombuffer(r.counts, np.int64)
-    most = sorted(sums, key=lambda k: (-int(sums[k].sum()), k))[:MOST_LANGUAGES]
-    return {k: np.log((sums[k] + 0.1) / (sums[k].sum() + 0.1 * len(sums[k]))) for k in sorted(most)}
+    return {k: np.log((sums[k] + 0.1) / (sums[k].sum() + 0.1 * len(sums[k]))).astype(np.float32) for k in sorted(sums)}
 
 
 def _likely(models):
@@ -118,6 +117,11 @@ def _argmax(x: Column) -> Column:
     return (F.array_position(x, F.array_max(x)) - 1).cast("int")
 
 
+def _softmax(name: str) -> Column:
+    shares = F.transform(name, lambda x: F.exp(x - F.array_max(name)))
+    return F.transform(shares, lambda x: x / F.aggregate(shares, F.lit(0.0), lambda a, b: a + b))
+
+
 def identify(pages: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """pages(page_id, url, html) -> (page_id, lang, confidence, text_lang, declared)."""
     spark = pages.sparkSession
@@ -139,19 +143,20 @@ def identify(pages: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> DataFra
         visible(text_of("html")).alias("text"),
     )
     kinds = "page_id long, host string, site string, suffix string, declared string, segment string, text_score array<double>"
-    scored = written(rows.mapInArrow(_likely(spark.sparkContext.broadcast(models)), kinds).withColumn("by_text", _argmax(F.col("text_score"))), "page-evidence")
+    likely = rows.mapInArrow(_likely(spark.sparkContext.broadcast(models)), kinds)
+    scored = written(likely.withColumn("by_text", _softmax("text_score")), "page-evidence")
 
     def counts(*keys: str) -> DataFrame:
-        return scored.groupBy(*keys).agg(F.array(*[F.count_if(F.col("by_text") == i).cast("double") for i in range(k)]).alias("counts"))
+        return scored.groupBy(*keys).agg(F.array(*[F.sum(F.col("by_text")[i]) for i in range(k)]).alias("counts"))
 
-    total = counts().first().counts or [0.0] * k
+    total = [c or 0.0 for c in counts().first().counts]
     all_pages = F.array(*[F.lit((c + 1.0) / (sum(total) + k)) for c in total])
-    own = F.array(*[F.when(F.col("by_text") == i, 1.0).otherwise(0.0) for i in range(k)])
     out = scored.withColumn("prior", all_pages)
     for level in ("suffix", "site", "host"):
         found = counts(level).select(F.col(level).alias("_key"), F.col("counts").alias("_counts"))
-        rest = F.zip_with("_counts", own, lambda a, b: a - b)
-        size = F.aggregate(rest, F.lit(0.0), lambda a, b: a + b)
+        # sums of the same numbers in another order may differ in their last digits
+        rest = F.zip_with("_counts", "by_text", lambda a, b: F.greatest(a - b, F.lit(0.0)))
+        size = F.aggregate("_rest", F.lit(0.0), lambda a, b: a + b)
         out = out.join(found, F.col(level) == F.col("_key")).withColumn("_rest", rest).withColumn("_size", size)
         out = out.withColumn("prior", F.zip_with("_rest", "prior", lambda n, p: (n + PARENT * p) / (F.col("_size") + PARENT))).drop("_key", "_counts", "_rest", "_size")
     sums = F.array(*[F.lit(float(c)) for c in total])
@@ -163,7 +168,53 @@ def identify(pages: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> DataFra
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     joint = add(add(F.transform("prior", lambda p: F.log(p)), F.col("text_score")), add(F.col("_declared"), F.col("_segment")))
     out = out.withColumn("joint", joint)
-    top = F.array_max("joint")
     mass = F.aggregate("joint", F.lit(0.0), lambda a, x: a + F.exp(x - F.array_max("joint")))
     name = lambda i: F.get(F.array(*map(F.lit, langs)), i)
-    return out.withColumn("mass", mass).withColumn("top", top).select("page_id", name(_argmax(F.col("joint"))).alias("lang"), (1 / F.col("mass")).alias("confidence"), name(F.col("by_text")).alias("text_lang"), "declared")
+    return out.select("page_id", name(_argmax(F.col("joint"))).alias("lang"), (1 / mass).alias("confidence"), name(_argmax(F.col("text_score"))).alias("text_lang"), "declared")
+
+
+def brute_force(pages: list[tuple], models: dict[str, np.ndarray]) -> list[tuple]:
+    """The definition read literally, for tests: (page_id, lang, confidence, text_lang, declared) of (page_id, url, html)."""
+    import math
+    import re
+    from collections import defaultdict
+
+    langs = list(models)
+
+    def softmax(x: list[float]) -> list[float]:
+        e = [math.exp(v - max(x)) for v in x]
+        return [v / sum(e) for v in e]
+
+    facts = []
+    for page, url, html in pages:
+        text = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ", html or "")
+        text = re.sub(r"&#?[A-Za-z0-9]+;", " ", re.sub(r"(?s)<[^>]*>", " ", text)).encode()
+        low = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 0 for c in text)
+        codes = [low[i] << 16 | low[i + 1] << 8 | low[i + 2] for i in range(len(low) - 2) if low[i + 1]]
+        slots = [int(h) & ((1 << SLOT_BITS) - 1) for h in scan.mix(np.array(codes, np.uint64), 21)]
+        n = len(slots)
+        score = [sum(float(models[k][s]) for s in slots) / max(n, 1) * min(n, TEXT_WEIGHT) for k in langs]
+        host = (re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", url or "") or [""] * 2)[1].lower()
+        site, suffix = ((re.search(p, host) or [""] * 2)[1] for p in (r"([^.]+\.[^.]+)$", r"([^.]+)$"))
+        declared = (re.search(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2})\b", html or "") or [""] * 2)[1].lower() or None
+        segment = (re.match(r"(?i)[a-z][a-z0-9+.-]*://[^/?#]*/([a-z]{2})(?:[/?#]|$)", url or "") or [""] * 2)[1].lower() or None
+        facts.append((page, {"host": host, "site": site, "suffix": suffix, "declared": declared, "segment": segment}, score, softmax(score)))
+    seen = {c: defaultdict(lambda: [0.0] * len(langs)) for c in ("host", "site", "suffix", "declared", "segment")}
+    total = [0.0] * len(langs)
+    for _, own, _, p in facts:
+        total = [a + b for a, b in zip(total, p, strict=True)]
+        for c, v in own.items():
+            seen[c][v] = [a + b for a, b in zip(seen[c][v], p, strict=True)]
+    out = []
+    for page, own, score, p in facts:
+        prior = [(c + 1) / (sum(total) + len(langs)) for c in total]
+        for level in ("suffix", "site", "host"):
+            rest = [max(a - b, 0.0) for a, b in zip(seen[level][own[level]], p, strict=True)]
+            prior = [(n + PARENT * q) / (sum(rest) + PARENT) for n, q in zip(rest, prior, strict=True)]
+        joint = [math.log(q) + s for q, s in zip(prior, score, strict=True)]
+        for c in ("declared", "segment"):
+            if own[c]:
+                joint = [j + math.log((n + ALPHA) / (t + ALPHA * 676)) for j, n, t in zip(joint, seen[c][own[c]], total, strict=True)]
+        best = softmax(joint)
+        out.append((page, langs[joint.index(max(joint))], max(best), langs[score.index(max(score))], own["declared"]))
+    return out

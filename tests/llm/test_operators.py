@@ -372,14 +372,29 @@ def test_views_teach_each_other(spark):
 
 def test_languages(spark, sf, docs):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
-    want = {r.page_id: r.c for r in pages.select("page_id", F.regexp_extract("url", r"//[^/]*/([a-z]{2})/", 1).alias("c")).collect()}
-    got = {r.page_id: r.lang for r in langid.identify(pages, docs).collect()}
-    assert sum(got[k] == v for k, v in want.items()) > 0.95 * len(want)
-    awkward = spark.createDataFrame([(1, None, None, 1), (2, "http://x.example.de/de/a", "", 2), (3, "nonsense", "<html lang=fr><p>", 3), (None, None, "<html>", 4), (1, None, None, 1)], "page_id long, url string, html string, prior int")
-    found = langid.identify(awkward, docs).collect()
-    assert len(found) == 5 and all(0 <= r.confidence <= 1 for r in found)
-    assert langid.identify(awkward, docs.limit(0)).first().lang == "und"
-    assert langid.identify(awkward.limit(0), docs).count() == 0
+    models = langid.train(docs)
+    long = " ".join(r.text for r in docs.where("lang = 'de'").orderBy("doc_id").limit(30).collect())
+    awkward = [(1, None, None), (2, "http://x.example.de/de/a", ""), (3, "nonsense", "<html lang=fr><p>"), (None, None, "<html>"), (1, None, None), (None, "HTTP://U@Example.DE:80/x", f"<html LANG='de-AT'><script>x</script>{long}")]
+    rows = [(r.page_id, r.url, r.html) for r in pages.collect()] + awkward * 2
+    got = langid.identify(spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, prior int").repartition(5), docs).collect()
+    key = lambda r: (str(r[0]), r[1], round(r[2], 6), r[3], str(r[4]))
+    assert sorted(map(key, got)) == sorted(map(key, langid.brute_force(rows, models)))
+    assert langid.identify(pages, docs.limit(0)).first().lang == "und"
+    assert langid.identify(pages.limit(0), docs).count() == 0
+
+
+def test_text_alone_tells_the_language(spark, docs):
+    """Pages made of labelled documents, with nothing else to go by, a misleading declaration, and a site's habit."""
+    rows = [(r.doc_id, r.lang, r.text) for r in docs.where("length(text) > 300 and lang in ('en', 'de', 'fr', 'es')").collect()]
+    pages = [(i, None, f"<p>{t}") for i, _, t in rows] + [(10_000 + i, f"http://www.one.example/{i}", f'<html lang="xx"><p>{t}') for i, _, t in rows]
+    # no text at all: the site of many French pages, and the declaration others use
+    french = [t for _, k, t in rows if k == "fr"]
+    pages += [(20_000 + i, f"http://fr.site.example/{i}", f'<html lang="fr"><p>{french[i % len(french)]}') for i in range(60)]
+    pages += [(30_000, "http://fr.site.example/z", ""), (30_001, None, '<html lang="fr">')]
+    got = {r.page_id: r.lang for r in langid.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), docs).collect()}
+    assert sum(got[i] == k for i, k, _ in rows) > 0.97 * len(rows)
+    assert sum(got[10_000 + i] == k for i, k, _ in rows) > 0.97 * len(rows)
+    assert got[30_000] == got[30_001] == "fr"
 
 
 def reference(tokenizer, text):
