@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 import struct
 import tarfile
 import zipfile
@@ -12,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType
 
@@ -70,20 +71,63 @@ def bcj_x86(data: bytes, encode: bool = True) -> bytes:
     return bytes(out)
 
 
-def deflate_parameters(raw: bytes, stream: bytes) -> dict | None:
-    """The zlib level, memory level and strategy that give back a raw deflate stream, or None."""
-    for level in (6, 9, 1, 5, 7, 8, 4, 3, 2):
-        for memory in (8, 9):
-            for strategy in (zlib.Z_DEFAULT_STRATEGY, zlib.Z_FILTERED, zlib.Z_FIXED):
-                c = zlib.compressobj(level, zlib.DEFLATED, -15, memory, strategy)
-                if c.compress(raw) + c.flush() == stream:
-                    return {"level": level, "memory": memory, "strategy": int(strategy)}
+#: The order in which deflate parameters are tried. It decides which are found where several give the same
+#: stream: first the usual strategy at memory level 8, then 9 and 7, then 6 to 1; then the other strategies, each at
+#: levels 1 to 9 and memory levels 7 to 9. A window of 12 bits is tried with the first three memory levels only.
+DEFLATE_LEVELS = (6, 9, 1, 7, 5, 8, 4, 3, 2)
+DEFLATE_MEMORY = (8, 9, 7, 6, 5, 4, 3, 2, 1)
+DEFLATE_STRATEGIES = (zlib.Z_FILTERED, zlib.Z_HUFFMAN_ONLY, zlib.Z_RLE, zlib.Z_FIXED)
+_SMALL_WINDOW = -12
+
+
+def deflate_again(raw: bytes, parameters: dict) -> bytes:
+    """The raw deflate stream of found parameters."""
+    c = zlib.compressobj(parameters["level"], zlib.DEFLATED, parameters["window"], parameters["memory"], parameters["strategy"])
+    return c.compress(raw) + c.flush()
+
+
+def _deflate_grid(window: int) -> Iterator[tuple[int, int, int]]:
+    """(level, memory level, strategy) in the order of trial."""
+    usual = DEFLATE_MEMORY[:3] if window == _SMALL_WINDOW else DEFLATE_MEMORY
+    yield from ((level, memory, zlib.Z_DEFAULT_STRATEGY) for memory in usual for level in DEFLATE_LEVELS)
+    if window != _SMALL_WINDOW:
+        yield from ((level, memory, strategy) for strategy in DEFLATE_STRATEGIES for level in range(1, 10) for memory in (7, 8, 9))
+
+
+def deflate_parameters(raw: bytes, stream: bytes, window: int = 0) -> dict | None:
+    """The zlib level, memory level, strategy and window that give back a raw deflate stream, or None. window: the known
+    window bits, negative for a raw stream; 0 if unknown."""
+    window = window or -15
+    for level, memory, strategy in _deflate_grid(window):
+        found = {"level": level, "memory": memory, "strategy": int(strategy), "window": window}
+        if deflate_again(raw, found) == stream:
+            return found
     return None
 
 
+def reproduced(streams: DataFrame) -> DataFrame:
+    """streams(ino, stream) of raw deflate -> (ino, size, level, memory, strategy): what gives each back bit for bit, nulls
+    where nothing does."""
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for ino, stream in zip(frame.ino, frame.stream, strict=True):
+                try:
+                    raw = zlib.decompress(bytes(stream), -15)
+                except zlib.error:
+                    rows.append((ino, None, None, None, None))
+                    continue
+                found = deflate_parameters(raw, bytes(stream))
+                rows.append((ino, len(raw), *((found["level"], found["memory"], found["strategy"]) if found else (None, None, None))))
+            yield pd.DataFrame(rows, columns=["ino", "size", "level", "memory", "strategy"]).astype({c: "Int64" for c in ("size", "level", "memory", "strategy")})
+
+    return streams.mapInPandas(search, "ino long, size long, level long, memory long, strategy long")
+
+
 def _packed(body: bytes, chunk: int, pack: Callable[[bytes], bytes]) -> int:
-    """Bytes in whole 4 KiB blocks if each chunk is packed alone (or kept, if that is less)."""
-    sizes = (min(len(c), len(pack(c))) for c in (body[i : i + chunk] for i in range(0, len(body), chunk)))
+    """Bytes in whole 4 KiB blocks if each chunk is packed alone."""
+    sizes = (len(pack(c)) for c in (body[i : i + chunk] for i in range(0, len(body), chunk)))
     return sum(-(-(n + 8) // 4096) * 4096 for n in sizes)
 
 
@@ -107,6 +151,11 @@ class Registry:
     def names(self) -> list[str]:
         return sorted(self._all)
 
+    def table(self, spark: SparkSession) -> DataFrame:
+        """The registry as a table: codec, algo, generation, builtin."""
+        rows = [(n, c["algo"], c["generation"], c["builtin"]) for n, c in sorted(self._all.items())]
+        return spark.createDataFrame(rows, "codec string, algo int, generation int, builtin boolean")
+
     def by_algo(self, algo: int) -> str | None:
         return next((n for n, c in self._all.items() if c["algo"] == algo), None)
 
@@ -132,24 +181,76 @@ class Registry:
         return same
 
 
+#: Capabilities that a manifest can name.
+CAPABILITIES = ("seek", "batched", "wholefile", "container", "external")
+_NUMBERS = ("algo", "pack_version", "dec_mem", "generation", "decomp_gen")
+_COMMANDS = ("encode", "decode", "estimate", "enumerate", "extract", "strip", "rebuild", "map", "batch")
+
+
+def parse_hex(text: str) -> bytes:
+    """Pairs of hex digits up to the first that is none, at most 16."""
+    out = bytearray()
+    for i in range(0, min(len(text), 32) - 1, 2):
+        try:
+            out.append(int(text[i : i + 2], 16))
+        except ValueError:
+            break
+    return bytes(out)
+
+
+def parse_caps(text: str) -> list[str]:
+    """The known capabilities of a list divided by bars, commas or blanks."""
+    words = text.replace("|", " ").replace(",", " ").split()
+    return [c for c in CAPABILITIES if c in words]
+
+
+def _number(text: str) -> int:
+    """A leading decimal, hex (0x) or octal (0) number, 0 without one."""
+    found = re.match(r"[+-]?(?:0[xX][0-9a-fA-F]+|[0-9]+)", text)
+    if not found:
+        return 0
+    digits = found[0].lstrip("+-")
+    value = int(digits, 16) if digits[:2].lower() == "0x" else int(digits, 8) if digits[0] == "0" and not set(digits) - set("01234567") else int(digits)
+    return -value if found[0][0] == "-" else value
+
+
 def parse_manifest(text: str) -> dict:
-    """A pack's manifest of key = value lines ('#' opens a comment): keys repeat into lists, sniff.magic is bytes in
-    hex, sniff.offset and algo are numbers. A line without '=' or a pack without name and algo is refused."""
-    out: dict = {}
+    """A pack's manifest of key = value lines: blank lines, lines that open with '#' or have no '=', and unknown keys are
+    passed over. magics are (bytes, offset) pairs: an offset belongs to the magic before it, or to the first one if it
+    comes first; at most eight count. commands are templates of arguments."""
+    out: dict = {"name": "", "algo": -1, "pack_version": -1, "type": "codec", "caps": [], "commands": {}, "magics": [], "exts": []}
+    ahead = 0
     for line in text.splitlines():
-        line = line.split("#", 1)[0].strip()
-        if not line:
+        key, eq, value = (part.strip(" \t\r") for part in line.partition("="))
+        if not eq or not key or key.startswith("#"):
             continue
-        key, eq, value = (part.strip() for part in line.partition("="))
-        if not eq or not key:
-            raise ValueError(f"not a manifest line: {line}")
-        if key == "sniff.magic":
-            value = bytes.fromhex(value.replace(" ", ""))
-        elif key in ("algo", "sniff.offset", "generation"):
-            value = int(value)
-        out[key] = value if key not in out else [*(out[key] if isinstance(out[key], list) else [out[key]]), value]
-    if "name" not in out or "algo" not in out:
-        raise ValueError("a pack needs a name and an algo")
+        if key in _COMMANDS:
+            out["commands"][key] = value
+        elif key in _NUMBERS:
+            out[key] = _number(value)
+        elif key in ("name", "os", "arch", "requires"):
+            out[key] = value
+        elif key == "type":
+            out["type"] = value if value in ("container", "helper") else "codec"
+        elif key == "caps":
+            out["caps"] = parse_caps(value)
+        elif key == "sniff.ext":
+            out["exts"] = [e for e in value.split(",") if e]
+        elif key in ("blob_ext", "raw_ext"):
+            if re.fullmatch(r"\.[A-Za-z0-9]+", value):
+                out[key] = value
+        elif key == "sibling_tags":
+            out["tags"] = [re.split("[#%]", t)[0] for t in value.replace(",", " ").split() if re.split("[#%]", t)[0]]
+        elif key == "sniff.magic" and len(out["magics"]) < 8:
+            rule = parse_hex(value)
+            if rule:
+                out["magics"].append((rule, ahead))
+            ahead = 0
+        elif key == "sniff.offset":
+            if out["magics"]:
+                out["magics"][-1] = (out["magics"][-1][0], _number(value))
+            else:
+                ahead = _number(value)
     return out
 
 
@@ -191,6 +292,22 @@ def members_of(body: bytes) -> Iterator[tuple[int, str, int, bytes]]:
         return
 
 
+def entry_of(body: bytes, name: str) -> bytes | None:
+    """One member of a container by its name, the first of that name; None without it."""
+    return next((raw for _, found, _, raw in members_of(body) if found == name), None)
+
+
+def entries(archives: DataFrame, wanted: DataFrame) -> DataFrame:
+    """archives(ino, body) and wanted(ino, name) -> (ino, name, body): the named entries that are there."""
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(i, n, entry_of(bytes(b), n)) for i, b, n in zip(frame.ino, frame.body, frame.name, strict=True)]
+            yield pd.DataFrame([r for r in rows if r[2] is not None], columns=["ino", "name", "body"])
+
+    return archives.join(wanted, "ino").select("ino", "body", "name").mapInPandas(scan, "ino long, name string, body binary")
+
+
 def members(containers: DataFrame) -> DataFrame:
     """containers(ino, body) -> (ino, idx, name, usize, body): the members of zip, tar and gzip files."""
 
@@ -200,18 +317,3 @@ def members(containers: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["ino", "idx", "name", "usize", "body"])
 
     return containers.mapInPandas(scan, "ino long, idx long, name string, usize long, body binary")
-
-
-def carve_jpegs(body: bytes, least: int = 16 << 10) -> list[tuple[int, int]]:
-    """(offset, size) of JPEG payloads inside a program, from start of image to end of image."""
-    out, at = [], body.find(b"\xff\xd8\xff")
-    while at >= 0:
-        end = body.find(b"\xff\xd9", at + 3)
-        if end < 0:
-            break
-        if end + 2 - at >= least:
-            out.append((at, end + 2 - at))
-            at = body.find(b"\xff\xd8\xff", end + 2)
-        else:
-            at = body.find(b"\xff\xd8\xff", at + 3)
-    return out

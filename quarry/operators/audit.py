@@ -45,16 +45,27 @@ def orphans(allocated: DataFrame, reachable: DataFrame, key: str) -> DataFrame:
 def overlaps(left: DataFrame, right: DataFrame, cell: int) -> DataFrame:
     """Pairs of half-open ranges left(l, lo, hi) and right(r, lo, hi) that meet.
 
-    Ranges are dealt to cells of a fixed width and joined by cell, so it is an equi-join, not all against all; a pair
-    that shares several cells is taken in the first of them only."""
+    Cells double in width from level to level. A range lies at the level whose cells are as wide as it is or wider, so
+    in two cells at most, and stands in the cells of all levels above, too; two ranges meet at the level of the wider
+    one. It is an equi-join, not all against all, whatever widths there are; a pair that shares two cells is taken in
+    the first."""
 
-    def celled(df: DataFrame, name: str) -> DataFrame:
-        last = F.greatest(F.col("hi") - 1, F.col("lo"))
-        cells = F.sequence(F.floor(F.col("lo") / cell), F.floor(last / cell))
-        return df.where("hi > lo").select(name, F.col("lo").alias(f"_{name}lo"), F.col("hi").alias(f"_{name}hi"), F.explode(cells).alias("_cell"))
+    def level(df: DataFrame):
+        return F.greatest(F.ceil(F.log2((F.col("hi") - F.col("lo")) / cell)), F.lit(0)).cast("int")
+
+    widest = [df.where("hi > lo").agg(F.max(level(df)).alias("n")).first().n for df in (left, right)]
+    top = max((n for n in widest if n is not None), default=0)
 
-    pairs = celled(left, "l").join(celled(right, "r"), "_cell").where("_llo < _rhi and _rlo < _lhi")
-    return pairs.where(F.col("_cell") == F.floor(F.greatest("_llo", "_rlo") / cell)).select("l", "r", F.greatest("_llo", "_rlo").alias("lo"), F.least("_lhi", "_rhi").alias("hi"))
+    def celled(df: DataFrame, name: str) -> DataFrame:
+        rows = df.where("hi > lo").select(name, F.col("lo").alias(f"_{name}lo"), F.col("hi").alias(f"_{name}hi"), level(df).alias(f"_{name}at"))
+        rows = rows.withColumn("_level", F.explode(F.sequence(F.col(f"_{name}at"), F.lit(top))))
+        width = F.call_function("shiftleft", F.lit(cell).cast("long"), F.col("_level"))
+        return rows.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(f"_{name}lo") / width), F.floor((F.col(f"_{name}hi") - 1) / width))))
+
+    pairs = celled(left, "l").join(celled(right, "r"), ["_level", "_cell"]).where("_llo < _rhi and _rlo < _lhi")
+    pairs = pairs.where(F.col("_level") == F.greatest("_lat", "_rat"))
+    width = F.call_function("shiftleft", F.lit(cell).cast("long"), F.col("_level"))
+    return pairs.where(F.col("_cell") == F.floor(F.greatest("_llo", "_rlo") / width)).select("l", "r", F.greatest("_llo", "_rlo").alias("lo"), F.least("_lhi", "_rhi").alias("hi"))
 
 
 def double_owned(ranges: DataFrame, cell: int) -> DataFrame:

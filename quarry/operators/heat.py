@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import prefix_sums
+
 #: Heat from which a file is hot, the most promotions of a sweep, the largest read heat.
 HOT, MOST, LARGEST = 8, 64, 65_535
 
@@ -40,23 +42,6 @@ def budgeted(rows: DataFrame, cost: str, order: list[Column], budget: Column) ->
     return prefix_sums(rows, cost, order).where(F.col("total") <= budget)
 
 
-def prefix_sums(rows: DataFrame, cost: str, order: list[Column], slices: int = 256) -> DataFrame:
-    """rows with total, the running sum of cost in a total order, without putting all rows into one task: rows are
-    cut into ranges of the first order column, summed there, and each range adds the sum of those before it."""
-    ranged = rows.repartitionByRange(min(slices, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))), *order)
-    cut = ranged.withColumn("_part", F.spark_partition_id())
-    return _chained(cut, cost, order)
-
-
-def _chained(cut: DataFrame, cost: str, order: list[Column]) -> DataFrame:
-    within = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = cut.withColumn("_sum", F.sum(cost).over(within))
-    parts = summed.groupBy("_part").agg(F.max("_sum").alias("_all"))
-    before = parts.withColumn("_before", F.coalesce(F.sum("_all").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_before")
-    # one row a range
-    return summed.join(before, "_part").withColumn("total", F.col("_sum") + F.col("_before")).drop("_part", "_sum", "_before")
-
-
 def tier_evict(copies: DataFrame, capacity: int, free_share: float = 0.2) -> DataFrame:
     """copies(block, rheat, len): the coldest first, until a share of the capacity is free again."""
     used = copies.agg(F.coalesce(F.sum("len"), F.lit(0)).alias("_used"))

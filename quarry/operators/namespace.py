@@ -8,22 +8,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.scratch import written
 
-def walk(dirents: DataFrame, root: int, depth: int) -> DataFrame:
-    """All entries down to a depth: path, depth, ino, parent, type, size, ancestors (ids from the root down)."""
+
+#: More levels than any path has components; a walk that goes deeper is in a loop.
+DEEPEST = 2048
+
+
+def walk(dirents: DataFrame, root: int, depth: int = DEEPEST) -> DataFrame:
+    """All entries below a root: path, depth, ino, parent, type, size, ancestors (ids from the root down). The walk goes on
+    until a level is empty; each level is written, so it is worked out once. A tree deeper than depth is refused."""
     level = dirents.where(F.col("parent") == root).select(F.concat(F.lit("/"), F.col("name")).alias("path"), F.lit(1).alias("depth"), F.col("child").alias("ino"), "parent", "type", "size", F.array(F.lit(root).cast("long")).alias("ancestors"))
-    out = level
     names = dirents.select(F.col("parent").alias("_parent"), F.col("name").alias("_name"), F.col("child").alias("_child"), F.col("type").alias("_type"), F.col("size").alias("_size"))
-    for _ in range(depth - 1):
-        up = level.where("type = 'd'")
-        level = up.join(names, F.col("ino") == F.col("_parent")).select(
+    out = level = written(level, "walk")
+    done = 1
+    while not level.where("type = 'd'").isEmpty():
+        below = level.where("type = 'd'").join(names, F.col("ino") == F.col("_parent")).select(
             F.concat("path", F.lit("/"), "_name").alias("path"), (F.col("depth") + 1).alias("depth"), F.col("_child").alias("ino"), F.col("_parent").alias("parent"), F.col("_type").alias("type"), F.col("_size").alias("size"), F.array_append("ancestors", F.col("_parent")).alias("ancestors")
         )
+        if done >= depth:
+            if not below.isEmpty():
+                raise ValueError(f"the tree is deeper than {depth} levels")
+            break
+        level, done = written(below, "walk"), done + 1
         out = out.unionByName(level)
     return out
 
 
-def walk_strict(dirents: DataFrame, inodes: DataFrame, root: int, depth: int) -> DataFrame:
+def walk_strict(dirents: DataFrame, inodes: DataFrame, root: int, depth: int = DEEPEST) -> DataFrame:
     """The walk, which fails if a name has no row in inodes(ino)."""
     found = walk(dirents, root, depth).join(inodes.select(F.col("ino"), F.lit(True).alias("_there")), "ino", "left")
     checked = F.when(F.col("_there").isNull(), F.raise_error(F.concat(F.lit("no row for "), F.col("path")))).otherwise(F.col("path"))
@@ -48,6 +60,13 @@ def normal_path(path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(kept, "/"))
 
 
+def split_path(path: Column) -> Column:
+    """(parent, leaf), slashes at either end and before the leaf passed over; null without a leaf."""
+    bare = F.regexp_replace(path, "^/+|/+$", "")
+    parent = F.regexp_replace(F.regexp_extract(bare, "^(.*)/[^/]*$", 1), "/+$", "")
+    return F.when(bare != "", F.struct(parent.alias("parent"), F.regexp_extract(bare, "([^/]+)$", 1).alias("leaf")))
+
+
 def lookup(dirents: DataFrame, paths: DataFrame, root: int, depth: int) -> DataFrame:
     """paths(path, ...) resolved component by component: path, ino (null where a component is missing), the rest."""
     parts = paths.withColumn("_parts", F.filter(F.split(normal_path(F.col("path")), "/"), lambda p: p != "")).withColumn("_ino", F.lit(root).cast("long"))

@@ -2,27 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .heat import budgeted
+from .order import runs, sums_within
 
 
 def batches(members: DataFrame, cap: int) -> DataFrame:
     """members(family, size, ino) packed by family in order of (size, ino): each member's first and last batch. A batch
     closes exactly at its cap, so a member may be cut."""
-    order = Window.partitionBy("family").orderBy("size", "ino").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = members.where("size > 0").withColumn("_end", F.sum("size").over(order))
-    return placed.select("family", "ino", "size", F.expr(f"(_end - size) div {cap}").alias("first_batch"), F.expr(f"(_end - 1) div {cap}").alias("last_batch"))
+    placed = sums_within(members.where("size > 0"), "family", "size", [F.col("size").asc(), F.col("ino").asc()])
+    return placed.select("family", "ino", "size", F.expr(f"(total - size) div {cap}").alias("first_batch"), F.expr(f"(total - 1) div {cap}").alias("last_batch"))
 
 
 def binary_batches(members: DataFrame, cap: int) -> DataFrame:
-    """members(flag, size, ino) in order of (size, ino): a batch also closes where the flag changes."""
-    order = Window.orderBy("size", "ino")
-    turn = F.when(F.lag("flag").over(order).eqNullSafe(F.col("flag")), 0).otherwise(1)
-    islands = members.withColumn("_turn", turn).withColumn("island", F.sum("_turn").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    running = F.sum("size").over(Window.partitionBy("island").orderBy("size", "ino").rowsBetween(Window.unboundedPreceding, 0))
-    return islands.withColumn("_end", running).select("ino", "flag", "size", "island", F.expr(f"(_end - size) div {cap}").alias("batch"))
+    """members(flag, size, ino) in order of (size, ino): a batch also closes where the flag changes, so that a batch is
+    filtered as a whole or not at all."""
+    islands = runs(members, "flag", ["size", "ino"]).withColumnRenamed("run", "island")
+    placed = sums_within(islands, "island", "size", [F.col("size").asc(), F.col("ino").asc()])
+    return placed.select("ino", "flag", "size", "island", F.expr(f"(total - size) div {cap}").alias("batch"))
 
 
 def garbage(registry: DataFrame, entries: DataFrame) -> DataFrame:
@@ -44,12 +43,14 @@ def size_guard(members: DataFrame, gain_mille: int, fixed: int = 4096, each: int
 
 
 def admitted(candidates: DataFrame, free: int) -> DataFrame:
-    """candidates(ino, worst): those whose worst case fits into what is free; the others are put off."""
-    return candidates.select("ino", "worst", F.when(F.col("worst") <= free, "go").otherwise("no-space").alias("verdict"))
+    """candidates(ino, worst) against free blocks: a file whose worst case in whole blocks does not fit is put off."""
+    blocks = F.ceil(F.col("worst") / 4096).cast("long")
+    return candidates.select("ino", "worst", F.when(blocks <= free, "go").otherwise("no-space").alias("verdict"))
 
 
-def pending(marks: DataFrame, done: DataFrame, cap: int) -> DataFrame:
-    """marks(ino, ts) that no later sweep done(ino, ts) has settled, once each, the oldest first, at most cap."""
+def pending(marks: DataFrame, done: DataFrame, cap: int | None) -> DataFrame:
+    """marks(ino, ts) that no later sweep done(ino, ts) has settled, once each; with a cap the oldest only."""
     last = done.groupBy("ino").agg(F.max("ts").alias("_done"))
     open_ = marks.groupBy("ino").agg(F.min("ts").alias("since"), F.max("ts").alias("_marked")).join(last, "ino", "left")
-    return open_.where("_done is null or _done < _marked").orderBy("since", "ino").limit(cap).select("ino", "since")
+    left = open_.where("_done is null or _done < _marked").select("ino", "since")
+    return left if cap is None else left.orderBy("since", "ino").limit(cap)

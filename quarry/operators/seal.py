@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .heat import prefix_sums
+from .order import prefix_sums
 
 
 def groups(files: DataFrame, symbol: int, k: int) -> DataFrame:
@@ -129,9 +129,3 @@ def rs_parity(symbols: DataFrame, m: int) -> DataFrame:
         return pd.DataFrame({"grp": rows.grp.iloc[0], "idx": range(m), "body": blocks})
 
     return symbols.groupBy("grp").applyInPandas(encode, "grp long, idx int, body binary")
-
-
-def stream_position(files: DataFrame) -> DataFrame:
-    """Where each file starts in the sealed stream, for small sets in one window."""
-    order = Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("start", F.coalesce(F.sum("size").over(order), F.lit(0)))

@@ -12,12 +12,10 @@ from quarry.model import GRID
 
 
 def cut(content: DataFrame, grid: int = GRID) -> DataFrame:
-    """content(ino, content) -> (ino, lba, chunk, len, hash)."""
-    size = F.length("content")
-    at = F.explode(F.sequence(F.lit(0), F.expr(f"cast((length(content) - 1) div {grid} as int)")))
-    rows = content.where(size > 0).select("ino", at.alias("lba"), "content")
-    chunk = F.substring("content", F.col("lba") * grid + 1, F.lit(grid))
-    return rows.select("ino", F.col("lba").cast("long").alias("lba"), chunk.alias("chunk")).withColumns({"len": F.length("chunk").cast("long"), "hash": F.sha2(F.col("chunk").cast("binary"), 256)})
+    """content(ino, content) -> (ino, lba, chunk, len, hash), in one pass over each text."""
+    pieces = F.regexp_extract_all("content", F.lit(f"(?s).{{1,{grid}}}"), F.lit(0))
+    rows = content.select("ino", F.posexplode(pieces).alias("lba", "chunk"))
+    return rows.select("ino", F.col("lba").cast("long").alias("lba"), "chunk", F.length("chunk").cast("long").alias("len"), F.unhex(F.sha2(F.col("chunk").cast("binary"), 256)).alias("hash"))
 
 
 def canonical(segments: DataFrame) -> DataFrame:
@@ -32,15 +30,16 @@ def located(segments: DataFrame) -> DataFrame:
 
 
 def dedupe_stats(segments: DataFrame) -> DataFrame:
-    at = located(segments)
-    loser = (F.col("ino") != F.col("to_ino")) | (F.col("lba") != F.col("to_lba"))
-    count = lambda x: F.count_if(x)
-    return at.agg(
-        F.count("*").alias("segments"),
-        F.coalesce(F.sum("len"), F.lit(0)).alias("logical"),
-        F.coalesce(F.sum(F.when(~loser, F.col("len"))), F.lit(0)).alias("physical"),
-        count(loser & (F.col("ino") != F.col("to_ino"))).alias("cross_merged"),
-        count(loser & (F.col("ino") == F.col("to_ino"))).alias("intra_merged"),
+    """Two sums in a row, no join: copies of a hash within each file, then over the files; the canonical copy lies in the
+    least file."""
+    own = segments.groupBy("hash", "ino").agg(F.count("*").alias("n"), F.min("len").alias("len"))
+    every = own.groupBy("hash").agg(F.min(F.struct("ino", "n"))["n"].alias("first"), F.sum("n").alias("copies"), F.min("len").alias("len"))
+    return every.agg(
+        F.coalesce(F.sum("copies"), F.lit(0)).alias("segments"),
+        F.coalesce(F.sum(F.col("len") * F.col("copies")), F.lit(0)).alias("logical"),
+        F.coalesce(F.sum("len"), F.lit(0)).alias("physical"),
+        F.coalesce(F.sum(F.col("copies") - F.col("first")), F.lit(0)).alias("cross_merged"),
+        F.coalesce(F.sum(F.col("first") - 1), F.lit(0)).alias("intra_merged"),
     )
 
 

@@ -41,7 +41,7 @@ def histogram(pieces: DataFrame) -> DataFrame:
     return found.withColumn("waste", F.col("physical") - F.col("logical"))
 
 
-def islands(blocks: DataFrame, slices: int = 64) -> DataFrame:
+def islands(blocks: DataFrame) -> DataFrame:
     """blocks(block) -> (start, length) of maximal runs of consecutive numbers.
 
     Runs are found within slices of the number line in parallel; only each slice's runs (not its blocks) are then put

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import model
-from quarry.functions import codecs
 from quarry.model import GRID, ROOT, STRIDE, table
 from quarry.operators import audit, classify, heat, mutate, namespace, overlay, placement, seal, segments, stats
 
@@ -42,7 +41,8 @@ _WALK = _DIR + f""", w as (select '/' || name path, 1 depth, child ino, parent,
 _BLOCKS = "blk as (select cast(o_orderkey as bigint) block, bool_or(o_orderstatus = 'O') used from orders group by 1)"
 _ISLANDS = "runs as (select min(block) start, count(*) length from (select block, block - row_number() over (order by block) g from ({which})) group by g)"
 _HEAT = "t as (select distinct user_id ino, cast(ts as date) d from events), r as (select ino, count(*) r from t group by 1), wr as (select user_id ino, count(*) w from events where event_type = 'purchase' group by 1), heat as (select ino, cast(least(coalesce(r, 0), 65535) as bigint) rheat, cast(least(coalesce(w, 0), 255) as bigint) wheat from r full join wr using (ino))"
-_TEXTCLASS = r"length(regexp_replace(substring(text, 1, 4096), '[^ -~\t\n\r]', '', 'g')) * 100 >= length(substring(text, 1, 4096)) * 85 and length(text) > 0"
+_TEXTCLASS = "(octet_length(encode(text)) > 0 and not contains(hex8, '00') and len(list_filter(hex8, lambda x: (x >= '20' and x <= '7E') or x in ('09', '0A', '0D'))) * 100 >= len(hex8) * 85)"
+_HEADS = "d as (select doc_id, text, regexp_extract_all(substring(hex(encode(text)), 1, 16384), '..') hex8 from documents where text is not null)"
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -225,9 +225,9 @@ def reverse_path(spark, sf):
     return found.where("path is not null").where(F.size(F.split("path", "/")) == 5)
 
 
-@query(f"with {_DIR} select child ino, name from dirent where type = 'd' and child not in (select parent from dirent)")
+@query(f"with {_DIR}, n as (select * from dirent where type = 'd' or child % 10 = 3) select child ino, name from n where type = 'd' and child not in (select parent from n)")
 def empty_dirs(spark, sf):
-    return namespace.removable(model.dirents(spark, sf))
+    return namespace.removable(model.dirents(spark, sf).where("type = 'd' or child % 10 = 3"))
 
 
 # --- statistics ---------------------------------------------------------------------------------------------------
@@ -264,9 +264,10 @@ def block_use(spark, sf):
     return stats.block_use(blocks, blocks.where("block % 11 = 0"))
 
 
-@query("select toxic, quality, count(*) files from labels group by all")
+@query("select case when toxic = 1 then 'guard' when quality = 1 then 'generic' else 'raw' end cls, count(*) files from labels group by 1")
 def algo_usage(spark, sf):
-    return table(spark, sf, "labels").groupBy("toxic", "quality").agg(F.count("*").alias("files"))
+    stamp = F.when(F.col("toxic") == 1, "guard").when(F.col("quality") == 1, "generic").otherwise("raw")
+    return stats.usage_by(table(spark, sf, "labels").select(stamp.alias("cls")), "cls")
 
 
 @query(f"with {_EXT}, a(algo, codec) as (values ('A', 'zstd'), ('N', 'none')) select ino, idx, off, len, zone, coalesce(codec, 'unknown') codec, cast(ceil((len + 8) / 4096) as bigint) blocks from ext left join a using (algo) where ino = 3")
@@ -306,10 +307,11 @@ def recipe_audit(spark, sf):
     return _tiling(spark, sf)
 
 
-@query(f"with {_PLANTED}, b as (select o_orderkey ino, 'ok' verdict from orders) select 'tiling' \"check\", count(*) \"rows\", count(*) filter (where verdict <> 'ok') faults from verdicts union all select 'rows', count(*), 0 from b")
+@query(f"with {_PLANTED}, n as (select o_custkey ino, count(*) names from orders where o_orderkey % 3 <> 1 group by 1), i as (select c_custkey ino, 1 + c_custkey % 4 nlink from customer) select 'tiling' \"check\", count(*) \"rows\", count(*) filter (where verdict <> 'ok') faults from verdicts union all select 'links', count(*), count(*) filter (where nlink is null or names is null or nlink <> names) from i full join n on i.ino = n.ino")
 def fsck_report(spark, sf):
-    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("ino"), F.lit("ok").alias("verdict"))
-    return audit.report({"tiling": _tiling(spark, sf), "rows": rows})
+    names = table(spark, sf, "orders").where("o_orderkey % 3 <> 1").select(F.col("o_custkey").alias("child"))
+    inodes = table(spark, sf, "customer").select(F.col("c_custkey").alias("ino"), (1 + F.col("c_custkey") % 4).alias("nlink"))
+    return audit.report({"tiling": _tiling(spark, sf), "links": audit.links(inodes, names)})
 
 
 @query(f"with {_PLANTED} select distinct ino, 'tiling' kind from verdicts where verdict <> 'ok' union all select distinct cast(o_orderkey as bigint), 'no-content' from orders where o_orderkey not in (select ino from ext)")
@@ -376,9 +378,9 @@ def batch_pack(spark, sf):
     return placement.batches(members, BATCH_CAP)
 
 
-@query("select cast(s_suppkey as bigint) batch, s_name from supplier where s_suppkey not in (select l_suppkey from lineitem where l_quantity > 49)")
+@query("select cast(s_suppkey as bigint) batch, s_name from supplier where s_suppkey not in (select l_suppkey from lineitem where l_quantity > 49 and l_suppkey % 7 <> 3)")
 def batch_gc(spark, sf):
-    live = table(spark, sf, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").cast("long").alias("batch"))
+    live = table(spark, sf, "lineitem").where("l_quantity > 49 and l_suppkey % 7 <> 3").select(F.col("l_suppkey").cast("long").alias("batch"))
     return placement.garbage(table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("batch"), "s_name"), live)
 
 
@@ -395,35 +397,19 @@ def size_guard(spark, sf):
     return placement.size_guard(members, 220)
 
 
-@query()
-def repack_plan(spark, sf):
-    chunk = 65_536
-    files = model.files(table(spark, sf, "documents")).where("content is not null").select("ino", "dir", "content", F.octet_length("content").cast("long").alias("size"))
-    now = F.ceil((F.col("size") + 8) / 4096).cast("long") * 4096
-    sized = files.select("ino", "dir", now.alias("now"), codecs.registry().size_udf("zlib", chunk)("content").alias("then"))
-    return sized.groupBy("dir").agg(F.count("*").alias("files"), F.sum("now").alias("now"), F.sum("then").alias("then"), F.sum(F.greatest(F.col("now") - F.col("then"), F.lit(0))).alias("saving"))
+# --- classification -----------------------------------------------------------------------------------------------
+#: What the extensions of the test names give: C, Python, JavaScript, Java, Rust, Go, data, prose, web, shell, nothing.
+_NAMES = ("a.HPP", "b.py", "c.mjs", "d.java", "e.rs", "f.go", "g.csv", "x/h.TXT", "i.css", "j.bash", "k.htm", "l.md/m", "n.")
 
 
-# --- classification -----------------------------------------------------------------------------------------------
-@query(f"select doc_id ino, {_TEXTCLASS} is_text, case when doc_id % 3 = 0 then 6 when {_TEXTCLASS} then 11 else 0 end family from documents where text is not null")
+@query(f"with {_HEADS} select doc_id ino, {_TEXTCLASS} is_text, case when doc_id % 13 < 10 then doc_id % 13 + 1 when {_TEXTCLASS} then 11 else 0 end family from d")
 def text_classify(spark, sf):
     docs = table(spark, sf, "documents").where("text is not null")
-    name = F.concat(F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".TXT").otherwise(".bin"))
+    name = F.get(F.array(*map(F.lit, _NAMES)), (F.col("doc_id") % 13).cast("int"))
     return docs.select(F.col("doc_id").alias("ino"), classify.is_text(F.col("text")).alias("is_text"), classify.text_family(name, F.col("text")).alias("family"))
 
 
-_BODIES = ("504B0304AA", "1F8B08", "89504E470D0A1A0A00", "664C6143", "FFD8FFE0", "4D5A90", "7F454C4602", "00")
-
-
-@query("with b as (select doc_id ino, doc_id % 8 kind, case when doc_id % 5 = 0 then 'tar' else 'bin' end ext from documents), s as (select ino, case kind when 0 then 100 when 1 then 100 when 2 then 100 when 3 then 100 when 4 then 100 when 5 then 40 when 6 then 40 end ms, case kind when 0 then 'zip' when 1 then 'gz' when 2 then 'png' when 3 then 'flac' when 4 then 'jpeg' when 5 then 'pe' when 6 then 'elf' end mc, ext from b) select ino, case when ext = 'tar' and coalesce(ms, 0) < 50 then 50 else ms end score, case when ext = 'tar' and coalesce(ms, 0) < 50 then 'tar' else mc end codec from s")
-def sniff_scores(spark, sf):
-    body = F.unhex(F.get(F.array(*map(F.lit, _BODIES)), (F.col("doc_id") % 8).cast("int")))
-    name = F.concat(F.lit("f."), F.when(F.col("doc_id") % 5 == 0, "tar").otherwise("bin"))
-    best = table(spark, sf, "documents").select(F.col("doc_id").alias("ino"), classify.sniff(name, body).alias("best"))
-    return best.select("ino", "best.score", "best.codec")
-
-
-@query(f"select doc_id ino, case when octet_length(encode(text)) < 1024 then 'sub-block-batch' when doc_id % 10 = 0 then 'anchored' when doc_id % 7 >= 5 then 'write-hot' when doc_id % 11 = 0 then 'gz' when doc_id % 11 = 1 then 'container' when {_TEXTCLASS} then 'text-batch' when doc_id % 2 = 0 then 'program-batch' else 'generic' end lane from documents where text is not null")
+@query(f"with {_HEADS} select doc_id ino, case when octet_length(encode(text)) < 1024 then 'sub-block-batch' when doc_id % 10 = 0 then 'anchored' when doc_id % 7 >= 5 then 'write-hot' when doc_id % 11 = 0 then 'gz' when doc_id % 11 = 1 then 'container' when {_TEXTCLASS} then 'text-batch' when doc_id % 2 = 0 then 'program-batch' else 'generic' end lane from d")
 def lane_dispatch(spark, sf):
     i = F.col("doc_id")
     codec = F.when(i % 11 == 0, "gz").when(i % 11 == 1, "zip")
@@ -463,19 +449,6 @@ def seal_scrub(spark, sf):
     return seal.scrub(hurt, sealed)
 
 
-@query()
-def crc32c_check(spark, sf):
-    segs = _segments(spark, sf).select("ino", "lba", "chunk")
-    return segs.select("ino", "lba", codecs.crc32c("chunk").alias("crc"))
-
-
-@query()
-def codec_roundtrip(spark, sf):
-    docs = table(spark, sf, "documents").where("text is not null")
-    same = codecs.registry().roundtrip_udf("bcj-zlib")("text")
-    return docs.select(same.alias("same")).groupBy("same").agg(F.count("*").alias("files"))
-
-
 # --- mutations and maps -------------------------------------------------------------------------------------------
 @query("select doc_id ino, sha256(left(t, 100) || 'REWRITTEN' || substring(t, 110)) content from (select doc_id, case when length(text) < 100 then rpad(text, 100, chr(0)) else text end t from documents where doc_id % 4 = 1 and text is not null)")
 def write_session(spark, sf):
@@ -526,8 +499,10 @@ def stream_ingest(spark, sf):
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
     folder = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
     _log(spark, sf).repartition(4).write.parquet(f"{folder}/in")
-    path = log.ingest(log.read_log(spark, f"{folder}/in", "k long, seq long, op string, v double"), f"{folder}/out", f"{folder}/checkpoint")
-    return spark.read.parquet(path).select("k", "seq", "op")
+    schema = "k long, seq long, op string, v double"
+    for _ in range(2):  # the second time nothing is new
+        log.ingest(log.read_log(spark, f"{folder}/in", schema), f"{folder}/out", f"{folder}/checkpoint")
+    return log.snapshot(spark, f"{folder}/out").select("k", "seq", "op")
 
 
 @query(f"with {_LOG} select count(*) records, count(*) filter (where op = 'D') deletes from log")
@@ -537,9 +512,16 @@ def hot_counters(spark, sf):
     return log.counters(_log(spark, sf)).select("records", "deletes")
 
 
+def _more() -> None:
+    """Modules that add their own queries here."""
+    from quarry.plans import formats, policies  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _more()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _more()
     return dict(_SQL)

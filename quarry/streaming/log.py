@@ -1,7 +1,8 @@
-"""The change log as a stream: micro-batches are appended and folded into a snapshot table.
+"""The change log as a stream: micro-batches are appended as deltas to a folder, and a snapshot is their latest records.
 
-Every micro-batch writes a new snapshot directory named by its batch id, so a batch that is run again after a failure
-replaces its own directory and nothing else: a snapshot shows a batch whole or not at all."""
+Every micro-batch writes a directory of its own, named by its batch id, with the latest record of each key in it; a
+batch that is run again after a failure replaces its own directory and nothing else, so it shows whole or not at all.
+What was written before is not written again; compact() folds deltas into one when there are many."""
 
 from __future__ import annotations
 
@@ -15,22 +16,29 @@ def read_log(spark: SparkSession, folder: str, schema: str, files_per_batch: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
-def ingest(log: DataFrame, folder: str, checkpoint: str) -> str:
-    """Folds all that is there now into snapshots below a folder; returns the last snapshot's path ('' if none)."""
-    done = {"path": ""}
+def ingest(log: DataFrame, folder: str, checkpoint: str) -> None:
+    """Appends all that is there now as deltas below a folder, and returns. Nothing new gives no delta."""
 
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        path = f"{folder}/batch={batch_id}"
-        rows = batch.select("k", "seq", "op", "v")
-        if batch_id:
-            rows = rows.unionByName(spark.read.parquet(f"{folder}/batch={batch_id - 1}"))
-        latest(rows).write.mode("overwrite").parquet(path)
-        done["path"] = path
+    def append(batch: DataFrame, batch_id: int) -> None:
+        latest(batch.select("k", "seq", "op", "v")).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
-    query = log.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = log.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return done["path"]
+
+
+def snapshot(spark: SparkSession, folder: str) -> DataFrame:
+    """(k, seq, op, v): the latest record of each key over all deltas; none if nothing was ever ingested."""
+    kinds = "k long, seq long, op string, v double"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], kinds)
+    return latest(spark.read.schema(kinds + ", batch int").parquet(folder))
+
+
+def compact(spark: SparkSession, folder: str, target: str) -> DataFrame:
+    """Writes the snapshot as one table of its own and reads it back; the deltas are the caller's to remove."""
+    snapshot(spark, folder).write.mode("errorifexists").parquet(target)
+    return spark.read.parquet(target)
 
 
 def counters(log: DataFrame) -> DataFrame:

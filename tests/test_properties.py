@@ -11,6 +11,7 @@ import zlib
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quarry import model
 from quarry.functions import codecs
@@ -74,6 +75,13 @@ def test_planted_faults(spark):
     a = spark.createDataFrame([(1, 0, 10), (2, 100, 300)], "l long, lo long, hi long")
     b = spark.createDataFrame([(7, 9, 120), (8, 300, 301)], "r long, lo long, hi long")
     assert rows(audit.overlaps(a, b, 16)) == [(1, 7, 9, 10), (2, 7, 100, 120)]
+    import random
+
+    r = random.Random(4)
+    one = [(i, lo, lo + int(2 ** r.uniform(0, 22))) for i, lo in enumerate(r.sample(range(-(10**6), 10**6), 60))]
+    two = [(i, lo, lo + int(2 ** r.uniform(0, 12)) - 1) for i, lo in enumerate(r.sample(range(-(10**6), 10**6), 60))]
+    want = sorted((i, j, max(p, u), min(q, v)) for i, p, q in one for j, u, v in two if p < v and u < q and u < v)
+    assert rows(audit.overlaps(spark.createDataFrame(one, "l long, lo long, hi long"), spark.createDataFrame(two, "r long, lo long, hi long"), 4)) == want
 
 
 def test_namespace(spark):
@@ -85,6 +93,8 @@ def test_namespace(spark):
     assert namespace.resolve(names, links, spark.createDataFrame([("/c",)], "path string"), 1, 4).first().ino == 4
     assert rows(namespace.siblings(names, ["jxl"])) == [(1, "c!jxl", 5, 6)]
     assert rows(namespace.first_names(walked))[0] == (2, "/a")
+    with pytest.raises(ValueError, match="deeper"):
+        namespace.walk(names, 1, 2)
     with pytest.raises(Exception, match="no row for"):
         namespace.walk_strict(names, names.limit(1).selectExpr("child ino"), 1, 4).collect()
 
@@ -96,7 +106,7 @@ def test_prefix_sums(spark):
     for size, ino in sorted((s, i) for i, s in rows(files)):
         total += size
         want.append((ino, size, total))
-    assert rows(heat.prefix_sums(files, "size", [files["size"].asc(), files["ino"].asc()])) == sorted(want)
+    assert rows(heat.prefix_sums(files, "size", [F.col("size").asc(), F.col("ino").asc()])) == sorted(want)
     assert placement.batches(files.selectExpr("'x' family", "*"), 64).where("last_batch < first_batch").count() == 0
 
 
@@ -146,14 +156,12 @@ def test_members(spark):
 
 
 def test_classes(spark):
-    from pyspark.sql import functions as F
-
     elf = b"\x7fELF" + bytes(14) + struct.pack("<H", 62) + bytes(5000)
     pe = bytearray(b"MZ" + bytes(5000))
     struct.pack_into("<I", pe, 60, 128)
     pe[128:132] = b"PE\0\0"
     one = spark.createDataFrame([(1, elf), (2, bytes(pe)), (3, elf[:100]), (4, b"\xca\xfe\xba\xbe" + bytes(5000))], "i int, b binary")
-    assert rows(one.select("i", classify.binary_family(F.col("b")))) == [(1, 1), (2, 5), (3, 0), (4, 6)]
+    assert rows(one.select("i", classify.binary_family(F.col("b")))) == [(1, 20), (2, 24), (3, 0), (4, 25)]
     sizes = spark.createDataFrame([("12",), ("3K",), ("1m",), ("x",)], "s string")
     assert [r[0] for r in sizes.select(classify.parse_size(F.col("s"))).collect()] == [12, 3072, 1 << 20, None]
     paths = spark.createDataFrame([("/a/./b/../c//",), ("../x",), ("",)], "p string")
