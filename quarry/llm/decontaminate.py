@@ -9,9 +9,9 @@ that item and document have there are paired, a re-parameterised copy replaces e
 throughout, and the share of item values that go to a single document value must be at least CONSISTENCY.
 
 Canonical forms. Number: digits with inner points and commas. Unit: a word of UNITS right after a number. Name: a
-word with a capital, then small letters, also where it opens a sentence (it then pairs with itself in a copy); of names
-in a row only the last counts, so that one of two words can stand for one of a single word. Everything else is lower
-case.
+word with a capital, then small letters, inside a sentence; also where it opens one, if it stands inside a sentence, too,
+NEAR words off at most. Of names in a row only the last counts, so that one of two words can stand for one of a single
+word. Everything else is lower case.
 
 The benchmark's windows are broadcast only if they are at most BROADCAST_WINDOWS; beyond that, rows of (document, place,
 hash) are joined to them by shuffle, and the documents' words are fetched for the windows found. A window that many
@@ -39,6 +39,9 @@ BROADCAST_WINDOWS = 200_000
 #: Units after a number.
 UNITS = ("mm", "cm", "m", "km", "mg", "g", "kg", "ml", "l", "s", "sec", "min", "h", "hour", "hours", "day", "days", "week", "weeks", "year", "years", "mile", "miles", "foot", "feet", "inch", "inches", "pound", "pounds", "ounce", "ounces", "dollar", "dollars", "cent", "cents", "euro", "euros", "percent", "degree", "degrees", "watt", "watts", "volt", "volts", "meter", "meters", "liter", "liters", "gram", "grams", "minute", "minutes", "second", "seconds")
 
+#: Words on either side among which a word that opens a sentence is looked for as a name.
+NEAR = 64
+
 _TOKEN = r"[.!?\n]|[0-9]+(?:[.,][0-9]+)*|[\p{L}\p{M}]+"
 _STOPS = (".", "!", "?", "\n")
 
@@ -55,13 +58,21 @@ def _is_name(t: Column) -> Column:
 def _typed(tokens: Column) -> Column:
     """The canonical form of each token, null for the ends of sentences and for names before a name."""
 
-    def one(t: Column, i: Column) -> Column:
-        before = F.get(tokens, i - 1)
-        low = F.lower(t)
-        last = F.when(_is_name(F.coalesce(F.get(tokens, i + 1), F.lit(""))), F.lit(None)).otherwise("#name")
-        return F.when(t.isin(*_STOPS), F.lit(None)).when(_is_number(t), "#num").when(_is_name(t), last).when((i > 0) & _is_number(before) & low.isin(*UNITS), "#unit").otherwise(low)
+    def inner(t: Column, i: Column) -> Column:
+        return F.when((i > 0) & _is_name(t) & ~F.get(tokens, i - 1).isin(*_STOPS), t)
+
+    def by_names(names: Column) -> Column:
+        def one(t: Column, i: Column) -> Column:
+            before = F.get(tokens, i - 1)
+            low = F.lower(t)
+            again = F.array_contains(F.slice(names, F.greatest(i - NEAR, F.lit(0)) + 1, F.lit(2 * NEAR)), t)
+            name = _is_name(t) & F.when(F.get(names, i).isNotNull(), F.lit(True)).otherwise(F.coalesce(again, F.lit(False)))
+            last = F.when(_is_name(F.coalesce(F.get(tokens, i + 1), F.lit(""))), F.lit(None)).otherwise("#name")
+            return F.when(t.isin(*_STOPS), F.lit(None)).when(_is_number(t), "#num").when(name, last).when((i > 0) & _is_number(before) & low.isin(*UNITS), "#unit").otherwise(low)
+
+        return F.transform(tokens, one)
 
-    return F.transform(tokens, one)
+    return held(F.transform(tokens, inner), by_names)
 
 
 def canonical(rows: DataFrame, keep: list[str]) -> DataFrame:
@@ -150,9 +161,10 @@ def oracle() -> str:
     def shapes(table: str, key: str) -> str:
         return rf"""select {key} k, list_filter(list_transform(t, lambda x, i: {{'word': x, 'shape':
   case when x in {stops} then null when x >= '0' and x < ':' then '#num'
-  when {name("x")} then case when {name("coalesce(t[i + 1], '')")} then null else '#name' end
+  when {name("x")} and (mids[i] is not null or list_contains(mids[greatest(i - {NEAR}, 1) : greatest(i - 1 - {NEAR}, 0) + {2 * NEAR}], x)) then case when {name("coalesce(t[i + 1], '')")} then null else '#name' end
   when i > 1 and t[i - 1] >= '0' and t[i - 1] < ':' and lower(x) in ({units}) then '#unit' else lower(x) end}}), lambda y: y.shape is not null) w
-  from (select {key}, regexp_extract_all(coalesce(text, ''), '[.!?\n]|[0-9]+(?:[.,][0-9]+)*|[\p{{L}}\p{{M}}]+') t from {table})"""
+  from (select {key}, t, list_transform(t, lambda x, i: case when i > 1 and {name("x")} and t[i - 1] not in {stops} then x end) mids
+  from (select {key}, regexp_extract_all(coalesce(text, ''), '[.!?\n]|[0-9]+(?:[.,][0-9]+)*|[\p{{L}}\p{{M}}]+') t from {table}))"""
 
     def windows(name: str) -> str:
         return f"select k, w, len(w) - {WINDOW - 1} n, i - 1 place, list_transform(w[i : i + {WINDOW - 1}], lambda x: x.shape) gram, w[i : i + {WINDOW - 1}] own from {name}, unnest(range(1, greatest(len(w) - {WINDOW - 2}, 1))) u(i)"
