@@ -9,8 +9,8 @@ is one pass over all documents with partial sums added up by Spark. At the end t
 the sum scores every document.
 
 Labels are taken from at most SAMPLE labelled rows, the least by a hash of doc_id, none of them held out (and one row
-for each doc_id, the least by a hash of its text). That is the only bound: all unlabelled documents are looked at in
-each round, and all that are sure count. Pseudo-labelled rows of a label weigh together no more than its labelled rows.
+for each doc_id, the least by a hash of its text). That is the only bound: all other documents are unlabelled and looked at
+in each round, and all that are sure count. Pseudo-labelled rows of a label weigh together no more than its labelled rows.
 
 Defined cases: null or empty text has an empty text view; null lang, source or n_chars is a value of its own; missing
 metadata columns count as null; without both labels every score is the share of good rows in the sample (0.5 without
@@ -207,8 +207,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int
     known.add_text(text[~apart], y[~apart])
     known.add_names(names[~apart], y[~apart])
     model = Model(Views(known), text[fit], names[fit], y[fit])
-    # labels of any kind make a document known, held-out ones too: they are no unlabelled rows
-    free = rows.join(good.select("_id").distinct(), F.col("id") == F.col("_id"), "left").select(*_VIEWS, F.col("_id").isNull().alias("free"))
+    # all but the sample is unlabelled here, whatever labels there are
+    free = rows.join(F.broadcast(picked.select("_id")), F.col("id") == F.col("_id"), "left").select(*_VIEWS, F.col("_id").isNull().alias("free"))
     for _ in range(rounds):
         parts = free.mapInArrow(_exchanged(spark.sparkContext.broadcast(model)), "view int, label int, slot int, value double")
         pseudo = Sums()
