@@ -2,9 +2,9 @@
 
 The most frequent words of the corpus are compiled, in sorted order, into a minimal acyclic automaton: states with the
 same right language are one state, so suffixes are shared, and each arc carries how many words lie before it, so the
-sum along a path is the word's rank. Ranks index a table of ready token ids. The automaton and the table are one byte
-string that each Python worker memory-maps from a file of its own. A word outside the lexicon is merged exactly by
-the vocabulary's ranked merges.
+sum along a path is the word's rank. Ranks index a table of ready token ids. The automaton and the table are one file in
+the shared folder, which each Python worker memory-maps (where that folder is no mounted file system, its bytes are
+copied into an anonymous map). A word outside the lexicon is merged exactly by the vocabulary's ranked merges.
 
 Texts of ASCII and Latin letters are cut into words on raw bytes, and each distinct word of a block is looked up
 once. Any other text is normalised and cut by the tokenizer's own normaliser and pre-tokenizer; its words then take
@@ -21,7 +21,6 @@ import json
 import mmap
 import re
 import struct
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
-from .shared import bounded_batches, text_of, written
+from .shared import arrow_path, bounded_batches, new_folder, text_of, written
 
-#: Words in the lexicon: the bound of what is broadcast (some 2 MB).
+#: Words in the lexicon: the bound of its file (some 2 MB).
 LEXICON_WORDS = 50_000
 #: Words merged outside the lexicon that a worker remembers before it starts afresh.
 REMEMBERED = 150_000
@@ -178,13 +177,23 @@ def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
 
 
 class Lexicon:
-    """A compiled lexicon, read in place from a mapped file."""
+    """A compiled lexicon, read in place from a mapped file, or from bytes."""
 
-    def __init__(self, compiled: bytes):
-        with tempfile.TemporaryFile() as file:
-            file.write(compiled)
-            file.flush()
-            self._map = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+    def __init__(self, compiled: str | bytes):
+        """compiled: the file's address, or what it holds."""
+        from pyarrow.fs import FileSystem, LocalFileSystem
+
+        if isinstance(compiled, str):
+            store, path = FileSystem.from_uri(compiled)
+            if isinstance(store, LocalFileSystem):
+                with open(path, "rb") as file:
+                    self._map = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ)
+            else:
+                with store.open_input_file(path) as file:
+                    compiled = file.read()
+        if isinstance(compiled, bytes):
+            self._map = mmap.mmap(-1, len(compiled))
+            self._map[:] = compiled
         at, views = 28, []
         for n in struct.unpack_from("<7i", self._map):
             views.append(memoryview(self._map)[at : at + 4 * n].cast("i"))
@@ -252,7 +261,7 @@ def cut_latin(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 class Coder:
     """Encodes and decodes texts on a worker."""
 
-    def __init__(self, compiled: bytes, tokenizer_json: str):
+    def __init__(self, compiled: str | bytes, tokenizer_json: str):
         from tokenizers import Tokenizer
 
         self.merges, self.lexicon = Merges(tokenizer_json), Lexicon(compiled)
@@ -340,21 +349,28 @@ def frequent_words(docs: DataFrame, words: int = LEXICON_WORDS) -> list[bytes]:
     return sorted(w.encode() for w in found)
 
 
-def build(docs: DataFrame, tokenizer: str, words: int = LEXICON_WORDS) -> tuple[bytes, str]:
-    """The compiled lexicon of the corpus for a tokenizer file, and the file's text."""
-    bounded_batches(docs.sparkSession)
+def build(docs: DataFrame, tokenizer: str, words: int = LEXICON_WORDS) -> tuple[str, str]:
+    """The address of the corpus's compiled lexicon for a tokenizer file, and the file's text."""
+    from pyarrow.fs import FileSystem
+
+    spark = docs.sparkSession
+    bounded_batches(spark)
     with open(tokenizer, encoding="utf-8") as file:
         tokenizer_json = file.read()
     merges = Merges(tokenizer_json)
     found = frequent_words(docs, words)
-    return compile_lexicon(dict(zip(found, merges.encode(found), strict=True))), tokenizer_json
+    address = arrow_path(spark, new_folder(spark, "lexicon")) + "/words"
+    store, path = FileSystem.from_uri(address)
+    with store.open_output_stream(path) as file:
+        file.write(compile_lexicon(dict(zip(found, merges.encode(found), strict=True))))
+    return address, tokenizer_json
 
 
 _coders: dict[str, Coder] = {}
 
 
-def _coder(compiled: bytes, tokenizer_json: str) -> Coder:
-    key = hashlib.sha256(compiled + tokenizer_json.encode()).hexdigest()
+def _coder(compiled: str, tokenizer_json: str) -> Coder:
+    key = hashlib.sha256((compiled + tokenizer_json).encode()).hexdigest()
     if key not in _coders:
         _coders.clear()
         _coders[key] = Coder(compiled, tokenizer_json)
