@@ -90,4 +90,4 @@ def usage_by(stamps: DataFrame, column: str) -> DataFrame:
 
 def inspector(extents: DataFrame, algos: DataFrame, ino: int) -> DataFrame:
     """Each extent of a file with its codec's name; the dimension has a row a codec."""
-    return extents.where(F.col("ino") == ino).join(F.broadcast(algos), "algo", "left").select("ino", "idx", "off", "len", "zone", F.coalesce("codec", F.lit("unknown")).alias("codec"), F.ceil((F.col("len") + 8) / 4096).cast("long").alias("blocks"))
+    return extents.where(F.col("ino") == ino).join(algos, "algo", "left").select("ino", "idx", "off", "len", "zone", F.coalesce("codec", F.lit("unknown")).alias("codec"), F.ceil((F.col("len") + 8) / 4096).cast("long").alias("blocks"))
