@@ -322,6 +322,39 @@ def test_toxicity_learns_pairs_that_tell_nothing_alone(kind):
     assert (m[2] > 0 > max(m[0], m[1])) if kind == "both" else (m[2] < 0 < min(m[0], m[1]))
 
 
+def test_toxicity_scores_by_hand(spark, docs):
+    """The machine's sum over single terms and over all pairs of them, term by term."""
+    import itertools
+    import math
+
+    import numpy as np
+
+    def slot(word):
+        data = np.frombuffer(word, np.uint8)
+        return int(scan.hash_bytes(data, np.array([0]), np.array([len(word)]))[0]) & ((1 << toxicity.SLOT_BITS) - 1)
+
+    large = "/root/testdata/sf0.1"
+    machine = toxicity.train(spark.read.parquet(f"{large}/documents.parquet"), spark.read.parquet(f"{large}/labels.parquet"))
+    assert len(machine.weight)
+    rows = [(i, t) for i, t in TEXTS if i not in (7, 8)] + [(1000 + r.doc_id, r.text) for r in docs.limit(40).collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text, r.score) for r in toxicity.scored(df, machine).collect()), key=str)
+    for (i, t), (j, _, score) in zip(sorted(rows, key=str), got, strict=True):
+        found = {slot(w) for w in re.findall(rb"[0-9a-z\x80-\xff]+", bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()))}
+        at = sorted(int(machine.known[s]) for s in found if machine.known[s] >= 0)
+        margin = machine.bias + sum(machine.weight[a] for a in at) + sum(float(machine.vectors[a] @ machine.vectors[b]) for a, b in itertools.combinations(at, 2))
+        assert i == j and abs(score - 1 / (1 + math.exp(-max(-40.0, min(40.0, margin))))) < 1e-9
+
+
+def test_one_row_for_each_label(spark):
+    """Of many rows under one labelled doc_id one is fitted on, whatever the order of the rows."""
+    rows = [(i, f"w{i % 7} {'bad' if i % 3 == 0 else 'good'} x{i}") for i in range(300)] + [(5, f"noise {k}") for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    one, two = (toxicity.train(d, labels) for d in (docs, docs.repartition(7)))
+    assert one.bias == two.bias and (one.weight == two.weight).all() and (one.vectors == two.vectors).all()
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -387,6 +420,13 @@ def test_languages(spark, sf, docs):
     assert langid.identify(pages.limit(0), docs).count() == 0
 
 
+def test_many_languages(spark):
+    """No cap on languages, and a very long page."""
+    docs = spark.createDataFrame([(i, " ".join(f"k{i}q{j}" for j in range(60)), f"l{i:03d}") for i in range(260)], "doc_id long, text string, lang string")
+    pages = spark.createDataFrame([(i, None, "<p>" + " ".join(f"k{i}q{j}" for j in range(20, 60)) * (400 if i == 3 else 1)) for i in (0, 3, 77, 259)], "page_id long, url string, html string")
+    assert {r.page_id: r.lang for r in langid.identify(pages, docs).collect()} == {i: f"l{i:03d}" for i in (0, 3, 77, 259)}
+
+
 def test_text_alone_tells_the_language(spark, docs):
     """Pages made of labelled documents, with nothing else to go by, a misleading declaration, and a site's habit."""
     rows = [(r.doc_id, r.lang, r.text) for r in docs.where("length(text) > 300 and lang in ('en', 'de', 'fr', 'es')").collect()]
@@ -525,3 +565,52 @@ def test_word_scan():
     words = scan.Words(data, offsets, scan.PLAIN)
     assert [raw[a:b] for a, b in zip(words.starts, words.ends, strict=True)] == [w for t in texts for w in re.findall(rb"[0-9a-z\x80-\xff]+", t.encode().lower())]
     assert words.hash[0] == words.hash[-1] and len(set(words.hash.tolist())) == 5
+
+
+def test_hashes_of_bytes():
+    import random
+
+    import numpy as np
+
+    r = random.Random(1)
+    words = [bytes(r.randrange(97, 100) for _ in range(r.choice([1, 2, 7, 8, 9, 15, 16, 17, 63, 64, 65, 200]))) for _ in range(3000)]
+    words += [w.encode() for w in CLASH] + [b"\x00", b"\x00\x00", b"ab", b"ab\x00"]
+    data = np.frombuffer(b"".join(words), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    starts = ends - [len(w) for w in words]
+    found = scan.hash_bytes(data, starts, ends)
+    known = dict(zip(words, found.tolist(), strict=True))
+    assert [known[w] for w in words] == found.tolist()
+    assert len(set(found.tolist())) == len(set(words))
+    moved = np.append(np.frombuffer(b"zzz", np.uint8), data)
+    assert (scan.hash_bytes(moved, starts + 3, ends + 3) == found).all()
+    a, b = np.array([r.randrange(len(words)) for _ in range(2000)]), np.array([r.randrange(len(words)) for _ in range(2000)])
+    alike = (ends - starts)[a] == (ends - starts)[b]
+    a, b = a[alike], b[alike]
+    assert scan.same_bytes(data, starts[a], starts[b], (ends - starts)[a]).tolist() == [words[i] == words[j] for i, j in zip(a, b, strict=True)]
+
+
+def test_word_digests():
+    import numpy as np
+
+    texts = ["a b", "A, b!", "ab", "a", "", "...", CLASH[0], CLASH[1], "a b c", "a bc"]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(t) for t in raw]))
+    found = neardup.word_digests(data, scan.Words(data, offsets, scan.PLAIN), scan.PLAIN)
+    assert found[0] == found[1] and found[4] == found[5] and len(set(found)) == len(texts) - 2
+
+
+def test_anchors_by_hand():
+    """A window's anchor depends on its words alone, and runs of windows with one anchor are complete."""
+    import numpy as np
+
+    text = (" ".join(f"t{i * i % 83}" for i in range(120)) + " x " * 40).encode()
+    data = np.frombuffer(text + b" " + text, np.uint8)
+    words = scan.Words(data, np.array([0, len(text), len(data)]), scan.SPACED)
+    a = repeats.Anchors(words)
+    n = len(text.split())
+    covered = [(int(d), int(f) - int(words.first[d]) + k) for d, f, c in zip(a.doc, a.first, a.count, strict=True) for k in range(c)]
+    assert sorted(covered) == [(d, i) for d in (0, 1) for i in range(n - repeats.WINDOW + 1)]
+    assert all(0 <= at - f < repeats.SLIDE for at, f in zip(a.at, a.first, strict=True))
+    half = len(a.at) // 2
+    assert (a.at[:half] + n == a.at[half:]).all() and (a.key[:half] == a.key[half:]).all() and (a.nth[:half] == a.nth[half:]).all()
