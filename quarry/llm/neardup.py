@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
-from .shared import bounded_batches, id_back, node_key, text_of, written
+from .shared import bounded_batches, drop_written, id_back, node_key, text_of, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -206,7 +206,10 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _unconnected(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between members of one bucket that labels leaves in different components."""
     known = members.join(labels.select("node", "label"), "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("component"))
-    mixed = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    # near copies share many buckets with the same members: one of those is enough
+    names = (F.bit_xor(F.xxhash64("node")).alias("name"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("other_name"), F.count("*").alias("members"))
+    mixed = known.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), *names).where("low <> high")
+    mixed = mixed.groupBy("name", "other_name", "members").agg(F.min("bucket").alias("bucket")).select("bucket")
     asked = written(known.join(mixed, "bucket"), "mixed-buckets")
     sets = _shingle_sets(texts, asked.select("node").distinct())
     sized = asked.join(sets.select("node", F.size("shingles").alias("n")), "node")
@@ -239,16 +242,18 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def components(found: DataFrame) -> DataFrame:
     """(node, label): each node that has a link, and the least node it is connected to."""
     edges = written(found.select(F.col("a").alias("u"), F.col("b").alias("v")).union(found.select(F.col("b").alias("u"), F.col("a").alias("v"))).distinct(), "edges")
-    labels = written(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("label")), "labels")
+    held = written(edges.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("label")), "labels")
     while True:
+        labels = held.select("node", "label")
         near = edges.join(labels, edges.v == labels.node).groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
         passed = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         after = written(passed.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
-        changed = after.where("old <> label").limit(1).count()
-        labels = after.select("node", "label")
-        if not changed:
-            return labels
+        drop_written(held)
+        held = after
+        if not after.where("old <> label").limit(1).count():
+            drop_written(edges)
+            return held.select("node", "label")
 
 
 def decided(docs: DataFrame) -> DataFrame:
