@@ -57,17 +57,13 @@ def fingerprint(found: Column) -> Column:
     kept = F.when(F.size(chosen) >= LEAST_TERMS, chosen).otherwise(found)
     one = lambda share: F.when(F.size(share) == 0, _EMPTY).otherwise(F.substring(F.lpad(F.hex(F.xxhash64(share)), 16, "0"), 1, 4))
 
-    def levels(hashes: Column, repeat: int) -> Column:
+    def levels(rest: Column, repeat: int, level: int = 0) -> Column:
         """Level l has the terms whose field has its lowest one at bit l; what is left goes on to the next level."""
-
-        def step(so_far: Column, level: Column) -> Column:
-            bit = F.call_function("shiftleft", F.lit(1).cast("long"), level + 10 * repeat)
-            has = lambda h: h.bitwiseAND(bit) != 0
-            rest = so_far["rest"]
-            return F.struct(F.filter(rest, lambda h: ~has(h)).alias("rest"), F.concat(so_far["out"], F.array(one(F.filter(rest, has)))).alias("out"))
-
-        start = F.struct(hashes.alias("rest"), F.array().cast("array<string>").alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), start, step, lambda x: x["out"])
+        bit = 1 << (10 * repeat + level)
+        own = F.array(one(F.filter(rest, lambda h: h.bitwiseAND(F.lit(bit)) != 0)))
+        if level == LEVELS - 1:
+            return own
+        return F.concat(own, held(F.filter(rest, lambda h: h.bitwiseAND(F.lit(bit)) == 0), lambda left: levels(left, repeat, level + 1)))
 
     return held(F.array_sort(F.transform(kept, lambda x: x["term"])), lambda hashes: F.concat(*[levels(hashes, r) for r in range(REPEATS)]))
 
