@@ -4,6 +4,7 @@ Keys are plain column expressions. The rest runs over Arrow batches, one call a
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -216,23 +217,15 @@ def tar_size(header: bytes) -> int:
     """The size in a tar header: octal digits, led by blanks or not, or a big binary number."""
     if header[124] & 0x80:
         return int.from_bytes(header[125:133], "little")
-    digits = header[124:135].lstrip(b" ")
-    end = next((i for i, c in enumerate(digits) if not 48 <= c <= 55), len(digits))
-    return int(digits[:end] or b"0", 8)
+    return int(re.match(rb" *([0-7]*)", header[124:135])[1] or b"0", 8)
 
 
 def tar_valid(header: bytes) -> bool:
     """Whether the checksum holds, its own field read as blanks or as zeros."""
-    rest = sum(header[:148]) + sum(header[156:512])
-    want = 0
-    for c in header[148:156]:
-        if c == 32:
-            continue
-        if 48 <= c <= 55 or c >= 0x80:
-            want = want << 3 | c & 7
-        else:
-            break
-    return want in (rest + 8 * 32, rest)
+    rest = sum(header) - sum(header[148:156])
+    digits = re.match(rb"[ 0-7\x80-\xff]*", header[148:156])[0].replace(b" ", b"")
+    want = sum((c & 7) << 3 * i for i, c in enumerate(reversed(digits)))
+    return want - rest in (0, 8 * 32)
 
 
 def tar_parts(tar: bytes) -> tuple[list[tuple[bytes, bytes, bytes]], bytes]:
@@ -360,36 +353,31 @@ def png_chunks(data: bytes) -> list[tuple[bytes, int, int, bool]] | None:
     return None
 
 
+#: A marker with the fill before it, and the byte before the first marker that ends a coded run (stuffed bytes and restarts
+#: are within it).
+_MARK, _RUN_END = re.compile(rb"\xff+([^\x00\xff])"), re.compile(rb"\xff(?=[^\x00\xff\xd0-\xd7])")
+#: Markers without a segment, of frames, of a scan and of the end.
+_BARE, _FRAMES, _SCAN, _END = {0x01, 0xD8, *range(0xD0, 0xD8)}, {*range(0xC0, 0xD0)} - {0xC4, 0xC8, 0xCC}, 0xDA, 0xD9
+
+
 def jpeg_end(data: bytes, start: int) -> int:
     """The place behind the end of the JPEG stream that starts at start, by its markers, so that a thumbnail inside a
     segment does not end it; 0 if it is cut, malformed or without a frame."""
-    at, frame = start + 2, False
-    while at + 1 < len(data):
-        if data[at] != 0xFF:
-            return 0
-        mark = data[at + 1]
-        if mark == 0xFF:
-            at += 1
-        elif mark == 0:
+    at, framed = start + 2, False
+    while found := _MARK.match(data, at):
+        mark, at = found[1][0], found.end()
+        if mark == _END:
+            return at if framed else 0
+        if mark in _BARE:
+            continue
+        size = int.from_bytes(data[at : at + 2], "big")
+        if size < 2 or at + size > len(data):
             return 0
-        elif mark in (0xD8, 0x01) or 0xD0 <= mark <= 0xD7:
-            at += 2
-        elif mark == 0xD9:
-            return at + 2 if frame else 0
-        else:
-            size = int.from_bytes(data[at + 2 : at + 4], "big")
-            if at + 4 > len(data) or size < 2 or at + 2 + size > len(data):
-                return 0
-            frame |= 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC)
-            at += 2 + size
-            if mark == 0xDA:  # the coded run ends at the next marker that is no stuffing, restart or fill
-                while True:
-                    at = data.find(b"\xff", at)
-                    if at < 0 or at + 1 >= len(data):
-                        return 0
-                    if data[at + 1] not in (0x00, 0xFF) and not 0xD0 <= data[at + 1] <= 0xD7:
-                        break
-                    at += 1
+        framed |= mark in _FRAMES
+        at += size
+        if mark == _SCAN:
+            run = _RUN_END.search(data, at)
+            at = run.start() if run else len(data)
     return 0
 
 
