@@ -91,42 +91,59 @@ def _surprise(toxic: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarra
     return n * (one + none)
 
 
+def _rows_with(slot: np.ndarray) -> np.ndarray:
+    """Rows of each slot, counted in parts: a count of all at once would need the slots once more, twice as wide."""
+    out = np.zeros(1 << SLOT_BITS, np.int64)
+    for i in range(0, len(slot), 1 << 19):
+        out += np.bincount(slot[i : i + (1 << 19)], minlength=1 << SLOT_BITS)
+    return out
+
+
 def paired(label: np.ndarray, doc: np.ndarray, slot: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """The slots of all pairs whose common rows are toxic more, or less, often than the base rate and the rates of both
-    slots leave to chance, at PAIR_ODDS for all pairs together. Every pair of the slots in often is looked at."""
-    rows_with, toxic_with = np.bincount(slot, minlength=1 << SLOT_BITS)[often], np.bincount(slot, label[doc], 1 << SLOT_BITS)[often]
-    order = np.argsort(rows_with, kind="stable")
-    often, rate, n = often[order], toxic_with[order] / rows_with[order], len(often)
-    place = np.full(1 << SLOT_BITS, -1)
+    """doc is in order. The slots of all pairs whose common rows are toxic more, or less, often than the base rate and the rates of both
+    slots leave to chance, at PAIR_ODDS for all pairs together. Every pair of the slots in often counts: a pair is as
+    surprising as its toxic common rows, or its others, allow, so slots with too few of either for any partner are left
+    out without loss, and common rows of the others are counted by products of their incidence matrices."""
+    is_toxic = label > 0
+    rows_with, toxic_with = _rows_with(slot)[often], _rows_with(slot[is_toxic[doc]])[often]
+    base, n = label.mean(), len(often)
+    least = np.log(max(n, 2) ** 2 / 2 / PAIR_ODDS)
+    most_bad, most_good = least / -np.log(base), least / -np.log(1 - base)
+    can = (toxic_with >= most_bad) | (rows_with - toxic_with >= most_good)
+    often, rate = often[can], (toxic_with / rows_with)[can]
+    n = len(often)
+    place = np.full(1 << SLOT_BITS, -1, np.int32)
     place[often] = np.arange(n)
     at = place[slot]
     doc, at = doc[at >= 0], at[at >= 0]
-    by_doc = np.lexsort((at, doc))
-    doc, at = doc[by_doc], at[by_doc].astype(np.int32)
-    stop = np.searchsorted(doc, doc, "right")
-    by_slot = np.argsort(at, kind="stable")
-    edges = np.searchsorted(at[by_slot], np.arange(n + 1))
-    base, least = label.mean(), np.log(max(n, 2) ** 2 / 2 / PAIR_ODDS)
+    edges = np.searchsorted(doc, np.arange(0, len(label) + _ROWS, _ROWS))
     kept = np.zeros(n, bool)
-    for t in range(n):
-        # the slots behind t in each of its rows: those in more rows than t
-        own = by_slot[edges[t] : edges[t + 1]]
-        length = stop[own] - own - 1
-        take = np.repeat(own + 1 - np.append(0, np.cumsum(length)[:-1]), length) + np.arange(length.sum())
-        toxic = np.repeat(label[doc[own]] > 0, length)
-        other = at[take]
-        common = np.bincount(other, minlength=n)
-        u = np.flatnonzero(common >= LEAST_ROWS)
-        if not len(u):
-            continue
-        bad = np.bincount(other[toxic], minlength=n)[u]
-        low, high = np.minimum(np.minimum(rate[u], rate[t]), base), np.maximum(np.maximum(rate[u], rate[t]), base)
-        found = u[_surprise(bad, common[u], low, high) > least]
-        kept[found] = True
-        kept[t] |= len(found) > 0
+    for t in range(0, n, _SLOTS):
+        own = min(t + _SLOTS, n)
+        # each pair once: with the slots from t on
+        common, bad = np.zeros((own - t, n - t), np.float32), np.zeros((own - t, n - t), np.float32)
+        for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+            there = np.zeros((min(_ROWS, len(label) - k * _ROWS), n - t), np.float32)
+            use = at[a:b] >= t
+            there[doc[a:b][use] - k * _ROWS, at[a:b][use] - t] = 1
+            toxic = there[is_toxic[k * _ROWS : k * _ROWS + len(there)]]
+            common += there[:, : own - t].T @ there
+            bad += toxic[:, : own - t].T @ toxic
+        one, two = np.nonzero((common >= LEAST_ROWS) & ((bad >= most_bad) | (common - bad >= most_good)))
+        after = two > one
+        one, two = one[after], two[after]
+        low = np.minimum(np.minimum(rate[one + t], rate[two + t]), base)
+        high = np.maximum(np.maximum(rate[one + t], rate[two + t]), base)
+        found = _surprise(bad[one, two].astype(np.float64), common[one, two].astype(np.float64), low, high) > least
+        kept[one[found] + t] = True
+        kept[two[found] + t] = True
     return often[kept]
 
 
+#: Rows and slots of a block of an incidence matrix.
+_ROWS, _SLOTS = 512, 256
+
+
 def fit(rows: list[tuple[int, bytes]], seed: int = 7) -> Machine:
     """Batch gradient steps (Adam) on the logistic loss with decay; rows are (label, packed slots)."""
     size = 1 << SLOT_BITS
@@ -135,19 +152,19 @@ def fit(rows: list[tuple[int, bytes]], seed: int = 7) -> Machine:
     if not len(label) or label.min() == label.max():
         share = float(label.mean()) if len(label) else 0.0
         return Machine(float(np.log(share / (1 - share))) if 0 < share < 1 else (40.0 if share else -40.0), np.full(size, -1), np.zeros(0), np.zeros((0, FACTORS)))
-    doc = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    slot = np.concatenate(parts).astype(np.int64)
+    doc = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
+    slot = np.concatenate(parts)
     # a slot is worth learning if its share of toxic rows, or that of a pair it is in, is not what chance makes of the base rate
-    rows_with = np.bincount(slot, minlength=size)
-    toxic_with = np.bincount(slot, label[doc], size)
+    rows_with, toxic_with = _rows_with(slot), _rows_with(slot[(label > 0)[doc]])
     base = label.mean()
     odd = np.abs(toxic_with - base * rows_with) / np.sqrt(base * (1 - base) * np.maximum(rows_with, 1))
     often = np.flatnonzero(rows_with >= LEAST_ROWS)
     use = np.union1d(often[odd[often] > 4.5], paired(label, doc, slot, often))
     known = np.full(size, -1)
     known[use] = np.arange(len(use))
-    at = known[slot]
+    at = known.astype(np.int32)[slot]
     doc, at = doc[at >= 0], at[at >= 0]
+    del slot, parts
     random = np.random.Generator(np.random.PCG64(seed))
     bias, weight, vectors = np.log(base / (1 - base)), np.zeros(len(use)), random.normal(0, 0.05, (len(use), FACTORS))
     state = [np.zeros(1), np.zeros_like(weight), np.zeros_like(vectors)]
@@ -185,8 +202,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     # the sample is at most SAMPLE rows of two numbers
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
     one = rows.groupBy("_id", "toxic").agg(F.min_by(text_of(), F.xxhash64(text_of())).alias("text")).select("toxic", "text")
-    found = one.mapInArrow(_terms, "toxic int, slots binary").collect()  # at most sample rows
-    return fit(sorted((r.toxic, bytes(r.slots)) for r in found))
+    # at most sample rows
+    return fit(sorted((r.toxic, bytes(r.slots)) for r in one.mapInArrow(_terms, "toxic int, slots binary").toLocalIterator()))
 
 
 def _scorer(machine, name: str):
