@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scan
@@ -41,6 +41,8 @@ REGISTERS = BANDS * ROWS
 #: Members, and shingles of them, that a block of a bucket holds on average; pairs of blocks are compared at a time.
 MEMBERS, BLOCK_SHINGLES = 2_000, 1_000_000
 _ARRIVALS = 8192
+#: Bits of the map that marks texts whose sets are wanted: 8 MB.
+MARK_BITS = 1 << 26
 
 
 def shingles(words: scan.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -128,15 +130,23 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([nodes.slice(i, j - i), pa.array(word_digests(own, words, scan.PLAIN), pa.binary()), lists], ["node", "copy", "bands"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        nodes, (offsets, data) = batch.column("node"), scan.utf8(batch.column("text"))
-        for i, j in scan.blocks(offsets):
-            words = scan.Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], scan.PLAIN)
-            doc, found = distinct(*shingles(words))
-            edges = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(found.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([nodes.slice(i, j - i), lists], ["node", "shingles"])
+def _sets(marked):
+    """The shingle sets of texts whose bit is marked."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = marked.value
+        for batch in batches:
+            place = batch.column("place").to_numpy()
+            batch = batch.filter(pa.array((bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1))
+            nodes, (offsets, data) = batch.column("node"), scan.utf8(batch.column("text"))
+            for i, j in scan.blocks(offsets):
+                words = scan.Words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], scan.PLAIN)
+                doc, found = distinct(*shingles(words))
+                edges = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(edges), pa.array(found.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([nodes.slice(i, j - i), lists], ["node", "shingles"])
+
+    return sets
 
 
 def cross_links(component: np.ndarray, block: np.ndarray, sizes: np.ndarray, found: np.ndarray, across: bool) -> list[tuple[int, int]]:
@@ -186,9 +196,19 @@ def _cross(table: pa.Table) -> pa.Table:
     return pa.table({"a": nodes.take(ends[0]), "b": nodes.take(ends[1])})
 
 
+def _place() -> Column:
+    return F.pmod(F.xxhash64("node"), F.lit(MARK_BITS))
+
+
 def _shingle_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) of the wanted nodes, written."""
-    sets = texts.join(wanted, "node", "left_semi").mapInArrow(_sets, f"node {NODE}, shingles array<long>")
+    """(node, shingles) of the wanted nodes, written. A bitmap of fixed size marks them, so that texts need not move; where
+    it marks others, too, they have sets that no one asks for."""
+    word = F.expr("cast(place div 64 as int)").alias("word")
+    words = wanted.select(_place().alias("place")).groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(MARK_BITS >> 6, np.uint64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    marked = texts.sparkSession.sparkContext.broadcast(bits)
+    sets = texts.withColumn("place", _place()).mapInArrow(_sets(marked), f"node {NODE}, shingles array<long>")
     return written(sets.dropDuplicates(["node"]), "shingle-sets")
 
 
