@@ -52,27 +52,31 @@ def _is_number(t: Column) -> Column:
 
 def _is_name(t: Column) -> Column:
     first, rest = F.substring(t, 1, 1), F.substring(t, F.lit(2), F.length(t))
-    return (first != F.lower(first)) & (rest != "") & (rest == F.lower(rest))
+    # most words are in small letters and need one look only
+    return (t != F.lower(t)) & (first != F.lower(first)) & (rest != "") & (rest == F.lower(rest))
 
 
 def _typed(tokens: Column) -> Column:
     """The canonical form of each token, null for the ends of sentences and for names before a name."""
 
-    def inner(t: Column, i: Column) -> Column:
-        return F.when((i > 0) & _is_name(t) & ~F.get(tokens, i - 1).isin(*_STOPS), t)
+    def by_case(cased: Column) -> Column:
+        def inner(t: Column, i: Column) -> Column:
+            return F.when(F.get(cased, i) & (i > 0) & ~F.get(tokens, i - 1).isin(*_STOPS), t)
 
-    def by_names(names: Column) -> Column:
-        def one(t: Column, i: Column) -> Column:
-            before = F.get(tokens, i - 1)
-            low = F.lower(t)
-            again = F.array_contains(F.slice(names, F.greatest(i - NEAR, F.lit(0)) + 1, F.lit(2 * NEAR)), t)
-            name = _is_name(t) & F.when(F.get(names, i).isNotNull(), F.lit(True)).otherwise(F.coalesce(again, F.lit(False)))
-            last = F.when(_is_name(F.coalesce(F.get(tokens, i + 1), F.lit(""))), F.lit(None)).otherwise("#name")
-            return F.when(t.isin(*_STOPS), F.lit(None)).when(_is_number(t), "#num").when(name, last).when((i > 0) & _is_number(before) & low.isin(*UNITS), "#unit").otherwise(low)
+        def by_names(names: Column) -> Column:
+            def one(t: Column, i: Column) -> Column:
+                low = F.lower(t)
+                again = F.array_contains(F.slice(names, F.greatest(i - NEAR, F.lit(0)) + 1, F.lit(2 * NEAR)), t)
+                name = F.get(names, i).isNotNull() | F.coalesce(again, F.lit(False))
+                last = F.when(~F.coalesce(F.get(cased, i + 1), F.lit(False)), "#name")
+                unit = (i > 0) & _is_number(F.get(tokens, i - 1)) & low.isin(*UNITS)
+                return F.when(F.get(cased, i), F.when(name, last).otherwise(low)).when(t.isin(*_STOPS), F.lit(None)).when(_is_number(t), "#num").when(unit, "#unit").otherwise(low)
 
-        return F.transform(tokens, one)
+            return F.transform(tokens, one)
 
-    return held(F.transform(tokens, inner), by_names)
+        return held(F.transform(tokens, inner), by_names)
+
+    return held(F.transform(tokens, _is_name), by_case)
 
 
 def canonical(rows: DataFrame, keep: list[str]) -> DataFrame:
@@ -83,10 +87,15 @@ def canonical(rows: DataFrame, keep: list[str]) -> DataFrame:
     return kept.select(*keep, F.col("both.word").alias("words"), F.col("both.shape").alias("shapes"))
 
 
-def _rolled(shapes: Column, length: int) -> Column:
-    """All windows of a length: place and hash."""
-    hashes = F.transform(F.sequence(F.lit(0), F.size(shapes) - length), lambda i: F.struct(i.alias("place"), F.xxhash64(F.slice(shapes, i + 1, length)).alias("gram"), F.lit(length).alias("length")))
-    return F.when(F.size(shapes) >= length, hashes).otherwise(F.array().cast("array<struct<place:int,gram:bigint,length:int>>"))
+def _hashes(shapes: Column) -> Column:
+    """Each form by its hash, so that windows are hashed over numbers."""
+    return F.transform(shapes, lambda x: F.xxhash64(x))
+
+
+def _rolled(forms: Column, length: int) -> Column:
+    """All windows of a length over hashed forms: place and hash."""
+    hashes = F.transform(F.sequence(F.lit(0), F.size(forms) - length), lambda i: F.struct(i.alias("place"), F.xxhash64(F.slice(forms, i + 1, length)).alias("gram"), F.lit(length).alias("length")))
+    return F.when(F.size(forms) >= length, hashes).otherwise(F.array().cast("array<struct<place:int,gram:bigint,length:int>>"))
 
 
 def item_windows(items: DataFrame) -> DataFrame:
@@ -97,7 +106,7 @@ def item_windows(items: DataFrame) -> DataFrame:
     each = sized.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)))
     places = F.filter(F.sequence(F.lit(0), F.col("length") - 1), lambda k: F.get("shapes", F.col("at") + k).startswith("#"))
     slots = F.transform(places, lambda k: F.struct(k.alias("k"), F.get("words", F.col("at") + k).alias("value")))
-    return each.select("item", "windows", "at", "length", slots.alias("slots"), F.xxhash64(F.slice("shapes", F.col("at") + 1, F.col("length"))).alias("gram"))
+    return each.select("item", "windows", "at", "length", slots.alias("slots"), F.xxhash64(F.slice(_hashes(F.col("shapes")), F.col("at") + 1, F.col("length"))).alias("gram"))
 
 
 def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -105,7 +114,7 @@ def _hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     wanted = item_windows(items)
     facts = wanted.agg(F.count("*").alias("n"), F.collect_set(F.when(F.col("length") < WINDOW, F.col("length"))).alias("short")).first()
     shapes = canonical(docs.select(node_key().alias("doc"), text_of().alias("text")), ["doc"])
-    rolled = held(F.col("shapes"), lambda x: F.concat(*[_rolled(x, n) for n in [WINDOW, *sorted(facts.short)]]))
+    rolled = held(_hashes(F.col("shapes")), lambda x: F.concat(*[_rolled(x, n) for n in [WINDOW, *sorted(facts.short)]]))
     small = facts.n <= BROADCAST_WINDOWS
     every = shapes.withColumn("rolled", rolled).select("doc", *(["words"] if small else []), F.explode_outer("rolled").alias("w")).select("*", "w.place", "w.gram", "w.length").drop("w")
     if small:
