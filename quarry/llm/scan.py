@@ -8,6 +8,7 @@ are for short runs. All hashes depend on content alone, never on position.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -155,13 +156,33 @@ def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
+def _tidy() -> None:
+    """Gives memory that is free back to the system: workers live on, and their stages follow each other."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def _libc():
+    try:
+        libc = ctypes.CDLL(None)
+        return libc if hasattr(libc, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+_LIBC = _libc()
+
+
 def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of documents of about limit bytes each; a longer document is a block of its own."""
+    """Ranges of documents of about limit bytes each; a longer document is a block of its own. Memory is tidied up behind
+    the last one."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
         yield i, min(j, n)
         i = min(j, n)
+    _tidy()
 
 
 def spans_to_runs(member: np.ndarray, *same: np.ndarray) -> np.ndarray:
